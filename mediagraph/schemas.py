@@ -1,0 +1,31 @@
+"""Table schemas. Repeated values are arrays or maps, times are timestamps, and the graph is an edge table."""
+
+ARTICLES = """
+article_id bigint, url string, url_key string, title string, outlet_id bigint, seen timestamp, language string,
+image_url string, source string, source_url string, retrieved timestamp, stated timestamp, date_method string,
+checked timestamp, attempts int, themes map<string,bigint>, sections array<string>, about array<string>,
+names array<string>
+"""
+OUTLETS = """
+outlet_id bigint, domain string, display_name string, country string, language string, active boolean,
+aliases array<string>, feeds array<string>, note string, qid string, match_status string, match_note string,
+entity_id bigint, ownership_checked timestamp
+"""
+COUNTED = "array<struct<value:string,count:bigint>>"
+RECORDS = f"""
+url string, title string, domain string, seen timestamp, language string, image_url string,
+themes {COUNTED}, places {COUNTED}, people {COUNTED}, names {COUNTED}, source_url string, arrival bigint
+"""
+ARTICLE_TAGS = "article_id bigint, slug string, evidence string"
+ARTICLE_PLACES = "article_id bigint, country string, mentions bigint"
+ARTICLE_MENTIONS = "article_id bigint, qid string, mentions bigint"
+ARTICLE_STORIES = "article_id bigint, story_id bigint, linked_to bigint, shared array<string>"
+ENTITIES = "entity_id bigint, qid string, name string, description string, kinds array<string>, aliases array<string>"
+EDGES = "child bigint, parent bigint, relation string, share double, source string"
+IDENTIFIERS = "entity_id bigint, scheme string, value string, checked timestamp"
+FUNDING = """
+entity_id bigint, kind string, label string, amount double, currency string, period string, funder string,
+source string, source_url string
+"""
+CURSORS = "source string, domain string, window_end timestamp"
+RUNS = "run_id bigint, source string, started timestamp, finished timestamp, status string, queries int, errors int, fetched int, inserted int"
