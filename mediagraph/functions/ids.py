@@ -46,13 +46,15 @@ def first_stake(amounts: Column) -> Column:
 
 def owner_type(kinds: Column) -> Column:
     """The one kind that says what an owner is in ownership terms."""
-    named = [F.get(F.filter(kinds, lambda k, w=w: F.lower(k).contains(w)), F.lit(0)) for w in fixed.OWNERSHIP_FORMS]
+    # A lambda of two parameters would get the position as its second: the word is bound by the outer function.
+    holding = lambda word: F.filter(kinds, lambda k: F.lower(k).contains(word))
+    named = [F.get(holding(w), F.lit(0)) for w in fixed.OWNERSHIP_FORMS]
     return F.when(F.array_contains(kinds, "human"), "person").otherwise(F.coalesce(*named, F.get(kinds, F.lit(0)), F.lit("")))
 
 
 def kinds_of(text: Column) -> Column:
     """'; '-joined kinds as an array."""
-    return F.filter(F.transform(F.split(text, ";"), F.trim), lambda k: k != "")
+    return F.filter(F.transform(F.split(text, ";"), lambda k: F.trim(k)), lambda k: k != "")
 
 
 def period_year(c: Column) -> Column:

@@ -63,7 +63,8 @@ def store_postings(postings: DataFrame, table: str, buckets: int = 256) -> None:
 
 def _frequencies(terms: SearchTerms) -> list[tuple[Column, ...]]:
     """Per phrase: how often it occurs in the title words and in the about words."""
-    tests = [lambda w, t=t: w == t for t in terms.whole] + [lambda w: w.startswith(terms.prefix)]
+    equals = lambda term: lambda w: w == term
+    tests = [equals(t) for t in terms.whole] + [lambda w: w.startswith(terms.prefix)]
     return [tuple(F.size(F.filter(F.col(words), test)).cast("double") for words in ("_tw", "_aw")) for test in tests]
 
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from mediagraph.plans import feed_queries, graph_queries  # noqa: F401
+from mediagraph.plans import feed_queries, graph_queries, text_queries  # noqa: F401
 from mediagraph.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
