@@ -73,7 +73,7 @@ def _in_order(c: str) -> Column:
 def about_text(people: DataFrame, places: DataFrame, place_names: DataFrame) -> DataFrame:
     """(article_id, about): people, then place names, then the European Union when a member is among the places.
     `place_names` is (country, place)."""
-    eu = places.where(F.col("country").isin(*fixed.EU_MEMBERS)).select(
+    eu = places.where(F.col("country").cast("string").isin(*fixed.EU_MEMBERS)).select(
         "article_id", F.lit(2).alias("part"), F.lit(1).alias("place"), F.lit(fixed.EU_NAME).alias("value")).distinct()
     named = places.join(place_names, "country", "left").select(
         "article_id", F.lit(1).alias("part"), "place", F.coalesce("place_name", F.col("country").cast("string")).alias("value"))
