@@ -165,10 +165,18 @@ def alias_keys(label: Column, aliases: Column) -> Column:
     return F.array_remove(keys, F.lit(""))
 
 
-def headline_word(word: Column) -> Column:
-    """The term a headline word stands for, or null: folded, three letters, no digits-only, plural s dropped."""
-    w = normalize_text(word)
+def headline_term(folded: Column) -> Column:
+    """The term a folded headline word stands for, or null: three letters or more, not only digits, no stopword; a
+    plural s is dropped."""
+    w = folded
     plural = (F.length(w) > 4) & w.endswith("s") & ~w.endswith("ss")
     stop = sorted({fold_text(t) for t in (fixed.STOPWORDS_EN + fixed.STOPWORDS_FR).split()})
     kept = (F.length(w) >= 3) & ~w.rlike(r"^\p{Nd}+$") & ~w.isin(stop)
-    return F.when(kept, F.when(plural, F.regexp_replace(w, "s$", "")).otherwise(w))
+    return F.when(kept, F.when(plural, F.left(w, F.length(w) - 1)).otherwise(w))
+
+
+def headline_terms(title: Column) -> Column:
+    """array<struct<word, term>> of a title's meaningful words, in order. Lambdas bind each folded word, so it is folded
+    once however often the rules look at it."""
+    pair = lambda w: F.struct(w.alias("word"), F.get(F.transform(F.array(normalize_text(w)), headline_term), F.lit(0)).alias("term"))
+    return F.filter(F.transform(word_tokens(title), pair), lambda p: p["term"].isNotNull())

@@ -10,7 +10,7 @@ Two things keep this from comparing all pairs:
   headline, however many, are one row in the similarity join.
 * Terms are ordered from rarest to commonest, and a signature is only listed under the terms before the point where
   the rest can no longer reach the lowest similarity that links (prefix filtering). A linking pair always meets
-  under its rarest shared term, so the result is exact; it is emitted there and nowhere else.
+  under its rarest shared term, so the result is exact.
 
 The sequential assignment is computed as a fixpoint of parallel rounds (see `assign`).
 """
@@ -39,9 +39,8 @@ EPS = 1e-9
 
 def headline_terms(articles: DataFrame) -> DataFrame:
     """(article_id, term, word): the title's meaningful words, each term in the spelling first used."""
-    words = articles.select("article_id", F.posexplode(tx.word_tokens(F.col("title"))).alias("pos", "word"))
-    terms = words.select("article_id", "pos", "word", tx.headline_word(F.col("word")).alias("term")).where(F.col("term").isNotNull())
-    return terms.groupBy("article_id", "term").agg(F.min_by("word", "pos").alias("word"))
+    words = articles.select("article_id", F.posexplode(tx.headline_terms(F.col("title"))).alias("pos", "w"))
+    return words.groupBy("article_id", F.col("w.term").alias("term")).agg(F.min_by("w.word", "pos").alias("word"))
 
 
 def name_terms(articles: DataFrame, place_names: DataFrame | None = None) -> DataFrame:
@@ -90,18 +89,31 @@ def term_weights(terms: DataFrame, n: int) -> DataFrame:
     return counted.withColumn("weight", weight(F.col("df"), n))
 
 
+# A vector is an array of strings: the term's count in twelve digits, then the term. Sorted, that is rarest first; and
+# intersecting arrays of strings hashes, where arrays of structs are compared element by element.
+DIGITS = 12
+
+
+def _df(key: Column) -> Column:
+    return F.left(key, F.lit(DIGITS)).cast("bigint")
+
+
+def _term(key: Column) -> Column:
+    return F.substr(key, F.lit(DIGITS + 1))
+
+
 def vectors(terms: DataFrame, n: int) -> DataFrame:
-    """(article_id, sig, terms, words): an article's terms as array<struct<df, term>>, rarest first; equal sets of terms have
-    equal signatures. A headline has a few dozen terms at most."""
+    """(article_id, sig, terms, words): an article's terms rarest first, and how it writes them; equal sets of terms have
+    equal signatures."""
     rows = terms.join(term_weights(terms, n).select("term", "df"), "term")
-    packed = rows.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "word"))).alias("words"))
-    vector = F.transform("words", lambda t: F.struct(t["df"].alias("df"), t["term"].alias("term")))
-    sig = F.sha2(F.array_join(F.transform("words", lambda t: t["term"]), "\x01"), 256)
-    return packed.select("article_id", sig.alias("sig"), vector.alias("terms"), "words")
+    key = F.concat(F.lpad(F.col("df").cast("string"), DIGITS, "0"), F.col("term"))
+    packed = rows.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), "word"))).alias("words"))
+    keys = F.transform("words", lambda t: t["key"])
+    return packed.select("article_id", F.md5(F.array_join(keys, "\x01")).alias("sig"), keys.alias("terms"), "words")
 
 
 def _square(terms: Column, n: int) -> Column:
-    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.pow(weight(t["df"], n), 2))
+    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.pow(weight(_df(t), n), 2))
 
 
 def norm(terms: Column, n: int) -> Column:
@@ -110,7 +122,7 @@ def norm(terms: Column, n: int) -> Column:
 
 def linkable(terms: Column, n: int) -> Column:
     """Whether anything could link to this: two terms, one of them rare."""
-    return (F.size(terms) >= 2) & (F.get(terms, F.lit(0))["df"] <= common_limit(n))
+    return (F.size(terms) >= 2) & (_df(F.get(terms, F.lit(0))) <= common_limit(n))
 
 
 def accepted(shared: Column, score: Column) -> Column:
@@ -131,12 +143,14 @@ def similar_signatures(signatures: DataFrame, n: int) -> DataFrame:
     """
     common = common_limit(n)
     rows = signatures.where(linkable(F.col("terms"), n)).withColumn("_norm", norm(F.col("terms"), n))
-    listed = rows.select("sig", "terms", "_norm", "first_seen", "last_seen", "fixed", F.posexplode("terms").alias("_pos", "_t"))
-    # What is left of the vector from this term on: under the floor, no pair can first meet here.
-    rest = F.sqrt(_square(F.slice("terms", F.col("_pos") + 1, F.size("terms")), n)) / F.col("_norm")
-    listed = listed.where(F.col("_t.df") <= common).withColumn("_rest", rest).where(F.col("_rest") >= FLOOR - EPS)
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_t.df") / HOT_TERM)).cast("int")
-    base = listed.select("sig", "terms", "_norm", "first_seen", "last_seen", "fixed", "_rest", F.col("_t.term").alias("term"), parts.alias("_parts"))
+    listed = rows.select("sig", "first_seen", "last_seen", "fixed", "_norm", F.posexplode("terms").alias("_pos", "_key"))
+    # What is left of the vector from each term on, as a share of its norm. A group is one distinct text's terms.
+    left_over = Window.partitionBy("sig").orderBy(F.desc("_pos"))
+    listed = listed.withColumn("_df", _df(F.col("_key"))).withColumn(
+        "_rest", F.sqrt(F.sum(F.pow(weight(F.col("_df"), n), 2)).over(left_over)) / F.col("_norm"))
+    listed = listed.where((F.col("_df") <= common) & (F.col("_rest") >= FLOOR - EPS))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_df") / HOT_TERM)).cast("int")
+    base = listed.select("sig", "first_seen", "last_seen", "fixed", "_rest", F.col("_key").alias("term"), parts.alias("_parts"))
     left = base.withColumn("_salt", F.pmod(F.xxhash64("sig"), F.col("_parts")).cast("int")).drop("_parts").alias("a")
     right = base.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").alias("b")
     near = (
@@ -145,12 +159,14 @@ def similar_signatures(signatures: DataFrame, n: int) -> DataFrame:
         & (F.unix_micros("b.first_seen") - F.unix_micros("a.last_seen") <= SPAN_SECONDS * 1_000_000))
     met = left.join(right, (F.col("a.term") == F.col("b.term")) & (F.col("a._salt") == F.col("b._salt")) & (F.col("a.sig") < F.col("b.sig"))
                     & (F.col("a._rest") * F.col("b._rest") >= FLOOR - EPS) & near)
-    shared = F.array_intersect("a.terms", "b.terms")
-    pairs = met.select(F.col("a.sig").alias("sig_a"), F.col("b.sig").alias("sig_b"), F.col("a.term").alias("_met"), shared.alias("shared"),
-                       (F.col("a._norm") * F.col("b._norm")).alias("_norms"))
-    pairs = pairs.where(F.get(F.col("shared"), F.lit(0))["term"] == F.col("_met"))
-    scored = pairs.withColumn("score", _square(F.col("shared"), n) / F.col("_norms")).where(accepted(F.col("shared"), F.col("score")))
-    return scored.select("sig_a", "sig_b", "score", F.transform("shared", lambda t: t["term"]).alias("shared"))
+    pairs = met.select(F.col("a.sig").alias("sig_a"), F.col("b.sig").alias("sig_b")).distinct()
+    # Whole vectors join back by signature, once per pair, however long a text is.
+    side = lambda x: rows.select(F.col("sig").alias(f"sig_{x}"), F.col("terms").alias(f"_{x}"), F.col("_norm").alias(f"_n{x}"))
+    both = pairs.join(side("a"), "sig_a").join(side("b"), "sig_b")
+    scored = both.select("sig_a", "sig_b", F.array_intersect("_a", "_b").alias("shared"), (F.col("_na") * F.col("_nb")).alias("_norms"))
+    scored = scored.withColumn("score", _square(F.col("shared"), n) / F.col("_norms")).where(
+        accepted(F.col("shared"), F.col("score")) & (_df(F.get(F.col("shared"), F.lit(0))) <= common))
+    return scored.select("sig_a", "sig_b", "score", F.transform("shared", _term).alias("shared"))
 
 
 def signatures_of(items: DataFrame) -> DataFrame:
@@ -164,7 +180,7 @@ def neighbours(signatures: DataFrame, n: int) -> DataFrame:
     """(sig, other, score, shared) in both directions, and a signature with itself when several articles carry it."""
     pairs = similar_signatures(signatures, n)
     alone = signatures.where(linkable(F.col("terms"), n) & (F.col("copies") > 1)).select(
-        F.col("sig"), F.col("sig").alias("other"), F.lit(1.0).alias("score"), F.transform("terms", lambda t: t["term"]).alias("shared"))
+        F.col("sig"), F.col("sig").alias("other"), F.lit(1.0).alias("score"), F.transform("terms", _term).alias("shared"))
     there = pairs.select(F.col("sig_a").alias("sig"), F.col("sig_b").alias("other"), "score", "shared")
     back = pairs.select(F.col("sig_b").alias("sig"), F.col("sig_a").alias("other"), "score", "shared")
     return there.unionByName(back).unionByName(alone)
@@ -211,34 +227,55 @@ def assign(items: DataFrame, near: DataFrame) -> DataFrame:
     new members only the first in order can lower it.
     """
     turn = F.struct(F.when(F.col("given").isNull(), 1).otherwise(0).alias("fresh"), F.col("seen").alias("at"), F.col("article_id").alias("id"))
-    base = cut(items.select("article_id", "outlet_id", "seen", "sig", "given", turn.alias("turn"), F.date_trunc("hour", "seen").alias("hour")))
+    rows = items.select("article_id", "outlet_id", "seen", "sig", "given", turn.alias("turn"), F.date_trunc("hour", "seen").alias("hour"))
+    # The neighbour relation is symmetric: signatures outside it neither choose nor are chosen.
+    linked = near.select("sig").distinct()
+    base = cut(rows.join(linked, "sig", "left_semi"))
     fresh = base.where(F.col("given").isNull())
+    # Every member of a story tells its start, also those that cannot link.
+    starts = rows.where(F.col("given").isNotNull()).groupBy(F.col("given").alias("story")).agg(F.min("seen").alias("start0"))
     wishes = cut(fresh.select("article_id", "outlet_id", "seen", "turn", "sig").join(near.select("sig", "other", "score"), "sig").drop("sig"))
     day = F.date_trunc("day", "seen")
     guess = fresh.groupBy("sig", day.alias("_day")).agg(F.min_by("article_id", "turn").alias("_lead"))
     state = cut(
         base.withColumn("_day", day).join(guess, ["sig", "_day"], "left")
-        .select(*base.columns, F.coalesce("given", "_lead", "article_id").alias("story"), F.lit(None).cast("bigint").alias("linked_to"),
-                F.lit(None).cast("string").alias("other")))
+        .select(*base.columns, F.coalesce("given", "_lead", "article_id").alias("story")))
     while True:
-        stories = state.groupBy("story").agg(
-            F.min(F.when(F.col("given").isNotNull(), F.col("seen"))).alias("start0"),
-            F.min(F.when(F.col("given").isNull(), F.col("turn"))).alias("lead"))
-        options = representatives(state.select("article_id", "outlet_id", "turn", "hour", "sig", "story")).join(stories, "story").select(
-            F.col("sig").alias("other"), F.col("article_id").alias("_id"), F.col("outlet_id").alias("_outlet"), F.col("turn").alias("_turn"),
-            F.col("story").alias("_story"), "start0", "lead")
+        leads = state.where(F.col("given").isNull()).groupBy("story").agg(F.min("turn").alias("lead"))
+        options = (
+            representatives(state.select("article_id", "outlet_id", "turn", "hour", "sig", "story"))
+            .join(starts, "story", "left").join(leads, "story", "left")
+            .select(F.col("sig").alias("other"), F.col("article_id").alias("_id"), F.col("outlet_id").alias("_outlet"),
+                    F.col("turn").alias("_turn"), F.col("story").alias("_story"), "start0", "lead"))
         tried = wishes.join(options, "other").where((F.col("_outlet") != F.col("outlet_id")) & (F.col("_turn") < F.col("turn")))
         start = F.when(F.col("lead") < F.col("turn"), F.least("start0", F.col("lead.at"))).otherwise(F.col("start0"))
         open_still = F.abs(F.unix_micros("seen") - F.unix_micros(start)) <= SPAN_SECONDS * 1_000_000
         best = tried.where(open_still).groupBy("article_id").agg(
-            F.max(F.struct(F.col("score"), (-F.col("_id")).alias("k"), F.col("_story"), F.col("other"))).alias("b"))
-        new = base.join(best, "article_id", "left").join(state.select("article_id", F.col("story").alias("_was")), "article_id").select(
-            *base.columns, F.coalesce("given", "b._story", "article_id").alias("story"),
-            (-F.col("b.k")).alias("linked_to"), F.col("b.other").alias("other"), "_was")
-        state = cut(new)
+            F.max(F.struct(F.col("score"), (-F.col("_id")).alias("k"), F.col("other"))).alias("b"))
+        chosen = cut(base.join(best, "article_id", "left").join(state.select("article_id", F.col("story").alias("_was")), "article_id").select(
+            *base.columns, (-F.col("b.k")).alias("linked_to"), F.col("b.other").alias("other"), "_was"))
+        state = cut(_follow(chosen))
         if state.where(F.col("story") != F.col("_was")).isEmpty():
-            return state.where(F.col("given").isNull()).select("article_id", "story", "linked_to", "other")
-        state = state.drop("_was")
+            break
+        state = state.drop("_was", "linked_to", "other")
+    done = state.where(F.col("given").isNull()).select("article_id", "story", "linked_to", "other")
+    alone = rows.where(F.col("given").isNull()).join(linked, "sig", "left_anti").select(
+        "article_id", F.col("article_id").alias("story"), F.lit(None).cast("bigint").alias("linked_to"), F.lit(None).cast("string").alias("other"))
+    return done.unionByName(alone)
+
+
+def _follow(chosen: DataFrame, hops: int = 3) -> DataFrame:
+    """Stories from links, by pointer doubling: each pass doubles how far along its links an article has looked (the
+    next round goes on from there)."""
+    ends = chosen.select("article_id", F.coalesce("linked_to", "article_id").alias("at"), F.coalesce("given", F.when(F.col("linked_to").isNull(), F.col("article_id"))).alias("told"))
+    far = ends
+    for _ in range(hops):
+        there = far.select(F.col("article_id").alias("at"), F.col("at").alias("_at"), F.col("told").alias("_told"))
+        far = far.join(there, "at").select("article_id", F.col("_at").alias("at"), F.coalesce("told", "_told").alias("told"))
+    was = chosen.select(F.col("article_id").alias("at"), F.col("_was").alias("_then"))
+    # Not at the end yet: what the article reached so far belonged to in the last round.
+    story = far.join(was, "at").select("article_id", F.coalesce("told", "_then").alias("story"))
+    return chosen.join(story, "article_id")
 
 
 def link_stories(articles: DataFrame, now: datetime | None = None, place_names: DataFrame | None = None) -> DataFrame:
@@ -249,17 +286,17 @@ def link_stories(articles: DataFrame, now: datetime | None = None, place_names:
     """
     pool = articles if now is None else articles.where(F.col("seen") >= F.lit(now - POOL))
     n = pool_size(pool)
-    packed = cut(vectors(article_terms(pool, place_names), n))
+    packed = cut(vectors(cut(article_terms(pool, place_names)), n))
     items = pool.select("article_id", "outlet_id", "seen", F.col("story_id").alias("given")).join(packed, "article_id", "left")
     live = items.where(F.coalesce(linkable(F.col("terms"), n), F.lit(False)))
-    near = cut(neighbours(signatures_of(live), n))
+    near = cut(neighbours(cut(signatures_of(live)), n))
     # Articles nothing can link to start stories of their own. A signature of their own keeps them apart: a headline
     # so common that it links nothing is not gathered anywhere.
     own = F.concat(F.lit("-"), F.col("article_id").cast("string"))
     sig = F.when(linkable(F.col("terms"), n), F.col("sig")).otherwise(own)
     done = assign(items.select("article_id", "outlet_id", "seen", sig.alias("sig"), "given"), near)
     rows = done.join(packed.select("article_id", "sig", "words"), "article_id", "left").join(near.select("sig", "other", "shared"), ["sig", "other"], "left")
-    spelling = lambda term: F.get(F.filter("words", lambda w: w["term"] == term), F.lit(0))["word"]
+    spelling = lambda term: F.get(F.filter("words", lambda w: _term(w["key"]) == term), F.lit(0))["word"]
     shared = F.when(F.col("shared").isNotNull(), F.transform(F.slice("shared", 1, SHOWN), spelling)).otherwise(F.array().cast("array<string>"))
     return rows.select("article_id", F.col("story").alias("story_id"), "linked_to", shared.alias("shared"))
 

@@ -22,9 +22,9 @@ SQL = {
   JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN part p ON p.p_partkey = l.l_partkey""",
     "b_docs": """SELECT doc_id, doc_id AS article_id, source AS outlet, lang, text AS title, concat(source, ' ', lang) AS about,
   TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '5' MINUTE * doc_id AS seen FROM documents""",
-    "b_headlines": """SELECT page_id AS article_id, regexp_extract(url, '://([^/?#]+)', 1) AS outlet,
-  regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '5' MINUTE * page_id AS seen, html FROM pages""",
+    "b_headlines": """SELECT doc_id * 1000000 + pos AS article_id, source AS outlet, title,
+  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '5' MINUTE * doc_id + INTERVAL '1' SECOND * pos AS seen
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS title, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)""",
     "b_edges": """SELECT c_custkey AS child, CAST(floor((c_custkey - 1) / 4.0) AS BIGINT) AS parent,
   CASE WHEN c_custkey % 3 = 0 THEN 'parent_org' ELSE 'owned_by' END AS relation,
   CASE WHEN c_custkey % 7 = 0 THEN 0.3 ELSE NULL END AS share,
@@ -95,10 +95,10 @@ class Tables:
 
     @property
     def headlines(self) -> DataFrame:
-        at = F.timestamp_add("MINUTE", 5 * F.col("page_id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
-        return self.read("pages").select(
-            F.col("page_id").alias("article_id"), F.regexp_extract("url", "://([^/?#]+)", 1).alias("outlet"),
-            F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), at.alias("seen"))
+        """Every line of every document is a headline of its source."""
+        lines = self.read("documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "title"))
+        at = F.timestamp_add("SECOND", 300 * F.col("doc_id").cast("int") + F.col("pos"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+        return lines.select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("article_id"), F.col("source").alias("outlet"), "title", at.alias("seen"))
 
     @property
     def edges(self) -> DataFrame:

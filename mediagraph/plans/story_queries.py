@@ -1,4 +1,4 @@
-"""Story grouping over page headlines, and story reports over a stand-in assignment of events."""
+"""Story grouping over the lines of documents, and story reports over a stand-in assignment of events."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from mediagraph.operators import stories
 from mediagraph.plans.bindings import Tables
 from mediagraph.plans.registry import query
 from mediagraph.plans.text_queries import NORMAL, WORDS
+from mediagraph.session import cut
 
 STOPPED = ", ".join(f"'{w}'" for w in sorted({tx.fold_text(w) for w in (fixed.STOPWORDS_EN + fixed.STOPWORDS_FR).split()}))
 
@@ -67,9 +68,11 @@ PAIRS = WEIGHTS + """, vec AS (SELECT w.article_id, w.term, t.weight, t.df FROM
 , sigs AS (SELECT article_id, string_agg(term, ' ' ORDER BY term) AS sig, sqrt(sum(weight * weight)) AS norm FROM vec GROUP BY article_id)
 , leads AS (SELECT s.sig, min(s.article_id) AS lead, any_value(s.norm) AS norm, min(h.seen) AS first_seen, max(h.seen) AS last_seen FROM sigs s JOIN b_headlines h ON h.article_id = s.article_id GROUP BY s.sig)
 , lv AS (SELECT l.lead, l.norm, l.first_seen, l.last_seen, v.term, v.weight, v.df FROM leads l JOIN vec v ON v.article_id = l.lead)
+, cand AS (SELECT DISTINCT a.lead AS a, b.lead AS b FROM size, lv a JOIN lv b ON a.term = b.term AND a.lead < b.lead AND a.first_seen - b.last_seen <= INTERVAL '24' HOUR AND b.first_seen - a.last_seen <= INTERVAL '24' HOUR
+  WHERE a.df <= greatest(10, 0.03 * n))
 , met AS (SELECT a.lead AS a, b.lead AS b, count(*) AS shared, sum(a.weight * b.weight) / (any_value(a.norm) * any_value(b.norm)) AS score, min(a.df) AS rarest,
     array_to_string(list_slice(list(a.term ORDER BY a.df, a.term), 1, 4), ' ') AS evidence
-  FROM lv a JOIN lv b ON a.term = b.term AND a.lead < b.lead AND a.first_seen - b.last_seen <= INTERVAL '24' HOUR AND b.first_seen - a.last_seen <= INTERVAL '24' HOUR GROUP BY a.lead, b.lead)
+  FROM cand c JOIN lv a ON a.lead = c.a JOIN lv b ON b.lead = c.b AND a.term = b.term GROUP BY a.lead, b.lead)
 , linked AS (SELECT met.* FROM met, size WHERE rarest <= greatest(10, 0.03 * n) AND ((shared >= 3 AND score >= 0.3) OR (shared >= 2 AND score >= 0.4)))"""
 
 
@@ -77,7 +80,7 @@ def pairs(t: Tables) -> DataFrame:
     rows = t.headlines
     n = stories.pool_size(rows)
     items = rows.select("article_id", "seen", F.lit(None).cast("bigint").alias("given")).join(stories.vectors(stories.headline_terms(rows), n), "article_id")
-    signatures = stories.signatures_of(items)
+    signatures = cut(stories.signatures_of(items))
     found = stories.similar_signatures(signatures, n)
     lead = lambda side: signatures.select(F.col("sig").alias(f"sig_{side}"), F.col("lead").alias(f"_{side}"))
     named = found.join(lead("a"), "sig_a").join(lead("b"), "sig_b")
