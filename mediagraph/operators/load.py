@@ -90,11 +90,13 @@ def _interval(span: timedelta) -> str:
 def progress(results: DataFrame) -> DataFrame:
     """(group, window_end, ok): how far each group got. `results` is (group, turn, slice, window_end, error,
     throttled) in the order they were fetched; a group stops at its first error and a throttled error ends the run."""
-    order = Window.partitionBy("group").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = results.withColumn("_bad", F.sum(F.col("error").cast("int")).over(order))
-    stop = results.where(F.col("error") & F.col("throttled")).agg(F.min("turn").alias("_stop"))
-    live = rows.crossJoin(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.col("turn") <= F.col("_stop")))
-    return live.groupBy("group").agg(F.max(F.when(F.col("_bad") == 0, F.col("window_end"))).alias("window_end"), (F.max("_bad") == 0).alias("ok"))
+    failed = F.when(F.col("error"), F.col("slice"))
+    first = results.groupBy("group").agg(F.min(failed).alias("_first"), F.min_by("throttled", failed).alias("_throttled"), F.min("turn").alias("_turn"))
+    stop = first.where(F.col("_first").isNotNull() & F.col("_throttled")).agg(F.min("_turn").alias("_stop"))
+    live = first.crossJoin(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.col("_turn") <= F.col("_stop")))  # one row
+    rows = results.join(live.select("group", "_first"), "group")
+    good = F.col("_first").isNull() | (F.col("slice") < F.col("_first"))
+    return rows.groupBy("group").agg(F.max(F.when(good, F.col("window_end"))).alias("window_end"), F.bool_and(F.col("_first").isNull()).alias("ok"))
 
 
 def run_status(results: DataFrame, crashed: Column | None = None) -> DataFrame:
@@ -237,11 +239,13 @@ def correction_violations(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- data repairs
 
 def _reset(df: DataFrame, test: Column, checked: Column) -> DataFrame:
-    null = lambda c, kind: F.when(test, F.lit(None).cast(kind)).otherwise(F.col(c))
-    return (df.withColumn("_checked", F.when(test, checked).otherwise(F.col("checked")))
-            .withColumn("attempts", F.when(test, 0).otherwise(F.col("attempts")))
-            .withColumn("stated", null("stated", "timestamp")).withColumn("date_method", null("date_method", "string"))
-            .drop("checked").withColumnRenamed("_checked", "checked"))
+    """Undated again where `test`. One projection: every column is computed from the row as it was."""
+    return df.withColumns({
+        "checked": F.when(test, checked).otherwise(F.col("checked")),
+        "attempts": F.when(test, 0).otherwise(F.col("attempts")),
+        "stated": F.when(~test, F.col("stated")),
+        "date_method": F.when(~test, F.col("date_method")),
+    })
 
 
 def repair_implausible(articles: DataFrame) -> DataFrame:
