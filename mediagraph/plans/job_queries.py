@@ -183,10 +183,10 @@ def _(t: Tables) -> DataFrame:
 TAGS = """, tags AS (SELECT page_id, unnest([0, 1]) AS rank, unnest(['article:published_time', 'meta pubdate']) AS method,
   unnest([regexp_extract(html, 'published_time" content="([^"]*)"', 1), regexp_extract(html, 'name="pubdate" content="([^"]*)"', 1)]) AS raw FROM b_pages)
 , parsed AS (SELECT *, CASE WHEN raw LIKE '%Z' THEN CAST(replace(raw, 'Z', '') AS TIMESTAMP) WHEN raw LIKE '%-0500' THEN CAST(replace(raw, '-0500', '') AS TIMESTAMP) + INTERVAL '5' HOUR
-  WHEN raw LIKE '%+02:00' THEN CAST(replace(raw, '+02:00', '') AS TIMESTAMP) - INTERVAL '2' HOUR END AS at, TIMESTAMP '2024-01-15 12:00:00' AS seen FROM tags)
-, good AS (SELECT * FROM parsed WHERE at IS NOT NULL AND at <= seen + INTERVAL '1' HOUR AND at >= TIMESTAMP '1995-01-01 00:00:00')
-, clash AS (SELECT DISTINCT a.page_id FROM parsed a JOIN parsed b ON b.page_id = a.page_id AND b.rank > a.rank AND a.at <> b.at AND abs(epoch(a.at) - epoch(b.at)) <= 50400 AND abs(epoch(a.at) - epoch(b.at)) % 3600 = 0)
-, chosen AS (SELECT page_id, arg_min(at, rank) AS at, arg_min(method, rank) AS method, page_id IN (SELECT page_id FROM clash) AS conflict FROM good GROUP BY page_id)"""
+  WHEN raw LIKE '%+02:00' THEN CAST(replace(raw, '+02:00', '') AS TIMESTAMP) - INTERVAL '2' HOUR END AS tm, TIMESTAMP '2024-01-15 12:00:00' AS seen FROM tags)
+, good AS (SELECT * FROM parsed WHERE tm IS NOT NULL AND tm <= seen + INTERVAL '1' HOUR AND tm >= TIMESTAMP '1995-01-01 00:00:00')
+, clash AS (SELECT DISTINCT a.page_id FROM parsed a JOIN parsed b ON b.page_id = a.page_id AND b.rank > a.rank AND a.tm <> b.tm AND abs(epoch(a.tm) - epoch(b.tm)) <= 50400 AND abs(epoch(a.tm) - epoch(b.tm)) % 3600 = 0)
+, chosen AS (SELECT page_id, arg_min(tm, rank) AS tm, arg_min(method, rank) AS method, page_id IN (SELECT page_id FROM clash) AS conflict FROM good GROUP BY page_id)"""
 PAGE_SEEN = datetime(2024, 1, 15, 12)
 
 
@@ -200,13 +200,13 @@ def _(t: Tables) -> DataFrame:
     return page_dates(t)[0].select("page_id", "method", "raw")
 
 
-@query("page_dates_chosen", ("b_pages",), TAGS + " SELECT page_id, CASE WHEN NOT conflict THEN at END AS at, CASE WHEN NOT conflict THEN method END AS method, conflict FROM chosen")
+@query("page_dates_chosen", ("b_pages",), TAGS + " SELECT page_id, CASE WHEN NOT conflict THEN tm END AS "at", CASE WHEN NOT conflict THEN method END AS method, conflict FROM chosen")
 def _(t: Tables) -> DataFrame:
     return dates.choose(*page_dates(t))
 
 
-@query("page_dates_explained", ("b_pages",), TAGS + """ SELECT a.page_id, a.method, CASE WHEN a.at IS NULL THEN 'rejected: not a full date-time with a time zone' WHEN a.at > seen + INTERVAL '1' HOUR THEN 'rejected: later than the article was first seen'
-WHEN coalesce(c.conflict, FALSE) THEN 'valid on its own' WHEN c.method = a.method AND c.at = a.at THEN 'USED' ELSE 'valid (a higher-priority tag was used)' END AS outcome FROM parsed a LEFT JOIN chosen c ON c.page_id = a.page_id""")
+@query("page_dates_explained", ("b_pages",), TAGS + """ SELECT a.page_id, a.method, CASE WHEN a.tm IS NULL THEN 'rejected: not a full date-time with a time zone' WHEN a.tm > seen + INTERVAL '1' HOUR THEN 'rejected: later than the article was first seen'
+WHEN coalesce(c.conflict, FALSE) THEN 'valid on its own' WHEN c.method = a.method AND c.tm = a.tm THEN 'USED' ELSE 'valid (a higher-priority tag was used)' END AS outcome FROM parsed a LEFT JOIN chosen c ON c.page_id = a.page_id""")
 def _(t: Tables) -> DataFrame:
     cands, seen = page_dates(t)
     return dates.explain(cands, seen, dates.choose(cands, seen)).select("page_id", "method", "outcome")
