@@ -200,7 +200,7 @@ def _(t: Tables) -> DataFrame:
     return page_dates(t)[0].select("page_id", "method", "raw")
 
 
-@query("page_dates_chosen", ("b_pages",), TAGS + " SELECT page_id, CASE WHEN NOT conflict THEN tm END AS "at", CASE WHEN NOT conflict THEN method END AS method, conflict FROM chosen")
+@query("page_dates_chosen", ("b_pages",), TAGS + ' SELECT page_id, CASE WHEN NOT conflict THEN tm END AS "at", CASE WHEN NOT conflict THEN method END AS method, conflict FROM chosen')
 def _(t: Tables) -> DataFrame:
     return dates.choose(*page_dates(t))
 
