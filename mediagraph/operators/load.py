@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediagraph.functions import fixed, ids, url
+from mediagraph.session import cut
 
 
 # ---------------------------------------------------------------- articles
@@ -26,6 +27,20 @@ def new_articles(rows: DataFrame, stored: DataFrame, key: str = "url_key") -> Da
     return first_per_key(rows, key).join(stored.select(key), key, "left_anti")
 
 
+def number_rows(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Rows numbered from 0 in a global order, without one task seeing all of them: range-partition on the order, number
+    within partitions, add each partition's offset. The order must be total."""
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    stamped = cut(ordered.withColumn("_mono", F.monotonically_increasing_id()))
+    part, index = F.shiftrightunsigned("_mono", 33), F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = stamped.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    # One row per partition of the sort: as many as there are tasks, whatever the data's size.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    return (stamped.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .withColumn(name, F.col("_offset") + index).drop("_part", "_offset", "_mono"))
+
+
 def insert_counts(rows: DataFrame, stored: DataFrame, outlets: DataFrame) -> DataFrame:
     """One row: fetched (all records) and inserted (known outlet, new key)."""
     known = rows.join(outlets.where("active").select("domain"), "domain", "left_semi")

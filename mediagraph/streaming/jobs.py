@@ -29,6 +29,9 @@ STORIES = "article_id bigint, story_id bigint, linked_to bigint, shared array<st
 DATES = "article_id bigint, at timestamp, method string, conflict boolean, checked timestamp"
 
 
+BATCH_IDS = 1 << 36  # ids set aside for one batch
+
+
 def read_lines_stream(spark: SparkSession, folder: str, files_per_batch: int = 2) -> DataFrame:
     """(file, arrival, value) of slot files as they appear. Oldest first; usually the two streams of one slot per batch."""
     raw = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("latestFirst", "false").load(folder)
@@ -66,8 +69,9 @@ class CollectJob:
         outlets = self.outlets()
         known = keyed.join(outlets.select("domain", "outlet_id"), "domain")
         fresh = load.new_articles(known, self.table("articles", batch_id))
-        # An id from the key: the same article has the same id in a replay, whatever the partitioning.
-        fresh = fresh.withColumn("article_id", F.xxhash64("url_key").bitwiseAND(F.lit((1 << 62) - 1)))
+        # Ids in order of arrival, within the batch's own range: a replay gives the same article the same id.
+        numbered = load.number_rows(fresh, [F.col("arrival"), F.col("url_key")], "_n")
+        fresh = numbered.withColumn("article_id", F.lit(batch_id).cast("bigint") * F.lit(BATCH_IDS) + F.col("_n")).drop("_n")
         names = self.places().select(F.col("code").alias("country"), F.col("name").alias("place_name"))
         placed = fresh.select("article_id", F.posexplode("places").alias("place", "p")).select(
             "article_id", F.col("place"), F.col("p.value").alias("country"), F.col("p.count").alias("mentions"))
