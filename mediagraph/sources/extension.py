@@ -5,9 +5,11 @@ Each group is one input partition; `fetch` runs on an executor and yields one sl
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from datetime import datetime
 
+from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SLICE = """group int, slice int, window_end timestamp, error string, throttled boolean, source_url string, url string, title string,
@@ -57,6 +59,10 @@ def data_source(source_class: type[ArticleSource]) -> type[DataSource]:
     """A DataSource to register: spark.dataSource.register(data_source(MySource)); then
     spark.read.format(MySource.name).option("domains", "a.ca,b.ca").option("start", ...).option("end", ...).load()."""
 
+    if source_class.__module__ != "__main__":
+        # The class travels with the task: executors need no copy of its module.
+        cloudpickle.register_pickle_by_value(sys.modules[source_class.__module__])
+
     class Registered(DataSource):
         @classmethod
         def name(cls) -> str:

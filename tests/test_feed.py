@@ -207,7 +207,7 @@ def test_highlighting(spark):
 def test_matched_names(spark):
     df = spark.createDataFrame([(["Mark Carney", "Canada"], "Budget day")], "about array<string>, title string")
     names = lambda q: df.select(search.matched_names(F.col("about"), F.col("title"), q).alias("n")).first().n
-    assert names("carn") == ["Mark Carney"] and names("ca") == ["Mark Carney", "Canada"][0:0] + ["Mark Carney", "Canada"] and names("budget ca") == []
+    assert names("carn") == ["Mark Carney"] and names("ca") == ["Mark Carney", "Canada"] and names("budget ca") == []
 
 
 def test_search_without_words_finds_nothing(spark):
