@@ -33,9 +33,9 @@ BATCH_IDS = 1 << 36  # ids set aside for one batch
 
 
 def read_lines_stream(spark: SparkSession, folder: str, files_per_batch: int = 2) -> DataFrame:
-    """(file, arrival, value) of slot files as they appear. Oldest first; usually the two streams of one slot per batch."""
+    """(file, block, value) of slot files as they appear. Oldest first; usually the two streams of one slot per batch."""
     raw = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("latestFirst", "false").load(folder)
-    return lines.stamp_lines(raw)
+    return lines.locate_lines(raw)
 
 
 @dataclass
@@ -61,7 +61,8 @@ class CollectJob:
         return df if before is None else df.where(F.col("batch") < before)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        self.store(lines.parse_lines(batch, self.outlets()), batch_id)
+        numbered = batch if "arrival" in batch.columns else lines.number_lines(batch)
+        self.store(lines.parse_lines(numbered, self.outlets()), batch_id)
 
     def store(self, records: DataFrame, batch_id: int) -> None:
         """One batch of article records: dedup, write, then everything that hangs off the new articles."""
@@ -140,10 +141,10 @@ def dedup_stream(records: DataFrame, watermark: str = "6 hours") -> DataFrame:
 def slot_counts(rows: DataFrame, keys: list[str], at: str = "seen", watermark: str = "6 hours") -> DataFrame:
     """(slot, keys, articles) per quarter hour. A slot is named by its end and excludes its start. Works on batch and streaming rows; as a stream, rows
     later than the watermark are dropped (see `late_rows`) and a slot is emitted once it is past."""
-    source = rows.withWatermark(at, watermark) if rows.isStreaming else rows
-    # Windows include their start: a microsecond earlier turns that round.
-    window = F.window(F.col(at) - F.expr("INTERVAL 0.000001 SECOND"), "15 minutes")
-    return source.groupBy(window.alias("w"), *keys).agg(F.count("*").alias("articles")).select(F.col("w.end").alias("slot"), *keys, "articles")
+    # Windows include their start: a microsecond earlier turns that round. The watermark is set on the shifted time, which the windows use.
+    shifted = rows.withColumn("_at", F.col(at) - F.expr("INTERVAL 0.000001 SECOND"))
+    source = shifted.withWatermark("_at", watermark) if rows.isStreaming else shifted
+    return source.groupBy(F.window("_at", "15 minutes").alias("w"), *keys).agg(F.count("*").alias("articles")).select(F.col("w.end").alias("slot"), *keys, "articles")
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -172,7 +173,7 @@ def _processor(hold_ms: int):
             self.done.update((True,))
             return pd.DataFrame({"article_id": [key[0]], "released_at": [pd.Timestamp(at_ms, unit="ms")], "reason": [reason]})
 
-        def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:  # noqa: N802
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
             collected = checked = None
             if self.since.exists():
                 collected, checked = self.since.get()
@@ -190,14 +191,14 @@ def _processor(hold_ms: int):
                 return
             if checked is not None and checked <= collected + hold_ms:
                 yield self._release(key, max(collected, checked), "checked")
-            elif collected + hold_ms <= timer.getCurrentWatermarkInMs():
+            elif collected + hold_ms <= timerValues.getCurrentWatermarkInMs():
                 yield self._release(key, collected + hold_ms, "held long enough")
             else:
                 self.handle.registerTimer(collected + hold_ms)
 
-        def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
             if not self.done.exists():
-                yield self._release(key, expired.getExpiryTimeInMs(), "held long enough")
+                yield self._release(key, expiredTimerInfo.getExpiryTimeInMs(), "held long enough")
 
         def close(self) -> None:
             pass
