@@ -35,6 +35,11 @@ def host_counts(pages: DataFrame) -> DataFrame:
     return rows.groupBy("host").agg(F.count("*").alias("articles"), F.count_if(F.coalesce(F.col("title"), F.lit("")) != "").alias("titled"))
 
 
+def own_hosts(outlets: DataFrame, counts: DataFrame) -> DataFrame:
+    """(domain, host, articles): which hosts an outlet is carried under. Rows, not a list per outlet: a blog platform has any number."""
+    return match_hosts(counts, outlets).where(F.col("domain").isNotNull()).select("domain", "host", "articles")
+
+
 def name_labels(domain: Column) -> Column:
     """Distinctive parts of a domain: all labels but the last, four letters or more, general ones aside."""
     labels = F.split(domain, r"\.")
@@ -43,12 +48,11 @@ def name_labels(domain: Column) -> Column:
 
 
 def report(outlets: DataFrame, counts: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row per outlet: articles on its own hosts, those hosts, look-alike hosts nobody claims, stored articles, and
-    a verdict; `place` puts problems first. `stored` is (domain, stored_7d)."""
+    """One row per outlet: articles on its own hosts, look-alike hosts nobody claims, stored articles, and a verdict; `place` puts
+    problems first. `stored` is (domain, stored_7d). The hosts themselves are `own_hosts`."""
     owned = match_hosts(counts, outlets)
     mine = owned.where(F.col("domain").isNotNull()).groupBy("domain").agg(
-        F.sum("articles").alias("carried"), F.sum("titled").alias("with_titles"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("host", "articles")))).alias("hosts"))
+        F.sum("articles").alias("carried"), F.sum("titled").alias("with_titles"))
     free = owned.where(F.col("domain").isNull()).select("host", "articles")
     labels = targets(outlets).select("domain", F.explode(name_labels(F.col("target"))).alias("label")).distinct()
     # A look-alike shares a whole label. The pair is made once even when several labels agree.
@@ -63,5 +67,5 @@ def report(outlets: DataFrame, counts: DataFrame, stored: DataFrame) -> DataFram
     state = F.when(zero("carried") > 0, 2).when(F.size("lookalikes") > 0, 1).otherwise(0)
     verdict = F.when(state == 2, "carried").when(state == 1, "check look-alikes").otherwise("not carried")
     order = Window.orderBy(state, F.lower("display_name"))  # the outlet dimension
-    return rows.select("domain", "display_name", zero("carried").alias("carried"), zero("with_titles").alias("with_titles"), "hosts",
+    return rows.select("domain", "display_name", zero("carried").alias("carried"), zero("with_titles").alias("with_titles"),
                        "lookalikes", zero("stored_7d").alias("stored_7d"), verdict.alias("verdict"), F.row_number().over(order).alias("place"))

@@ -41,6 +41,18 @@ def number_rows(rows: DataFrame, order: Sequence[Column], name: str) -> DataFram
             .withColumn(name, F.col("_offset") + index).drop("_part", "_offset", "_mono"))
 
 
+def rank_in_group(rows: DataFrame, group: str, at: str, tie: str, name: str) -> DataFrame:
+    """Rows numbered from 1 within each group by time. Ranked within each group's hours; the counts of earlier hours are added, so a
+    group holding most of the rows is spread over as many tasks as it has hours."""
+    hour = F.date_trunc("hour", at)
+    marked = rows.withColumn("_hour", hour)
+    sizes = marked.groupBy(group, "_hour").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(group).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    inside = F.row_number().over(Window.partitionBy(group, "_hour").orderBy(at, tie))
+    return marked.withColumn("_in", inside).join(offsets, [group, "_hour"]).withColumn(name, (F.col("_in") + F.col("_offset")).cast("int")).drop("_hour", "_in", "_offset")
+
+
 def insert_counts(rows: DataFrame, stored: DataFrame, outlets: DataFrame) -> DataFrame:
     """One row: fetched (all records) and inserted (known outlet, new key)."""
     known = rows.join(outlets.where("active").select("domain"), "domain", "left_semi")

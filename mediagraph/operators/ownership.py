@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediagraph.functions import ids, url
@@ -18,10 +18,10 @@ def best_statements(statements: DataFrame) -> DataFrame:
     """Statements in force per (entity, prop): no deprecated or valueless ones, only preferred ones where there are any, none
     that has ended (`ended`: boolean)."""
     usable = statements.where((F.col("rank") != "deprecated") & (F.col("snaktype") == "value"))
-    preferred = (F.col("rank") == "preferred").cast("int")
-    # An entity's statements of one property: a few dozen at most.
-    best = usable.withColumn("_best", F.max(preferred).over(Window.partitionBy("entity", "prop")))
-    return best.where((preferred == F.col("_best")) & ~F.col("ended")).drop("_best")
+    # Which (entity, prop) have a preferred statement: a small set found with partial aggregation, then a join.
+    chosen = usable.where(F.col("rank") == "preferred").select("entity", "prop", F.lit(True).alias("_has")).distinct()
+    best = usable.join(chosen, ["entity", "prop"], "left").where(F.col("_has").isNull() | (F.col("rank") == "preferred"))
+    return best.where(~F.col("ended")).drop("_has")
 
 
 def news_items(instances: DataFrame, subclasses: DataFrame, classes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediagraph.functions import text as tx
+from mediagraph.session import cut
 
 MAX_TOKENS = 20
 K1, B = 1.2, 0.75
@@ -71,8 +72,8 @@ def _frequencies(terms: SearchTerms) -> list[tuple[Column, ...]]:
 def rank(docs: DataFrame, query: str) -> DataFrame:
     """(doc_id, score): documents matching the whole query, with bm25 over the weighted fields.
 
-    One scan tokenises each document once and counts its phrases in place; only the one-row statistics (document
-    count, average length, documents per phrase) cross an exchange.
+    One scan tokenises each document once and counts its phrases in place. The counts, a few numbers per document, are written out
+    because they are read twice: for the one-row statistics (document count, average length, documents per phrase) and for the scores.
     """
     terms = SearchTerms.parse(query)
     if terms is None:
@@ -83,12 +84,12 @@ def rank(docs: DataFrame, query: str) -> DataFrame:
         tx.index_tokens(F.coalesce(F.col("about"), F.lit(""))).alias("_aw"),
     )
     freq = _frequencies(terms)
-    counted = words.select(
+    counted = cut(words.select(
         "doc_id",
         (F.size("_tw") + F.size("_aw")).cast("double").alias("_len"),
         *[f.alias(f"_t{i}") for i, (f, _) in enumerate(freq)],
         *[f.alias(f"_a{i}") for i, (_, f) in enumerate(freq)],
-    )
+    ))
     n = range(len(freq))
     stats = counted.agg(
         F.count("*").alias("_docs"),

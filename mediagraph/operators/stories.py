@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediagraph.functions import text as tx
+from mediagraph.operators.load import rank_in_group
 from mediagraph.session import cut
 
 POOL = timedelta(hours=48)
@@ -62,7 +63,7 @@ def name_terms(articles: DataFrame, place_names: DataFrame | None = None) -> Dat
 def article_terms(articles: DataFrame, place_names: DataFrame | None = None) -> DataFrame:
     """Headline terms, and names the headline does not already stand for: a name whose last word is a headline term is
     dropped. A one-word name keeps its mark and so is never dropped."""
-    words = headline_terms(articles)
+    words = cut(headline_terms(articles))  # read twice below
     last = F.regexp_extract("term", "([^ ]*)$", 1)
     named = name_terms(articles, place_names).withColumn("_last", last)
     extra = named.join(words.select("article_id", F.col("term").alias("_last")), ["article_id", "_last"], "left_anti")
@@ -234,7 +235,7 @@ def assign(items: DataFrame, near: DataFrame) -> DataFrame:
     fresh = base.where(F.col("given").isNull())
     # Every member of a story tells its start, also those that cannot link.
     starts = rows.where(F.col("given").isNotNull()).groupBy(F.col("given").alias("story")).agg(F.min("seen").alias("start0"))
-    wishes = cut(fresh.select("article_id", "outlet_id", "seen", "turn", "sig").join(near.select("sig", "other", "score"), "sig").drop("sig"))
+    wishes = cut(fresh.select("article_id", "outlet_id", "seen", "turn", "sig", _day(F.col("seen")).alias("on_day")).join(near.select("sig", "other", "score"), "sig").drop("sig"))
     day = F.date_trunc("day", "seen")
     guess = fresh.groupBy("sig", day.alias("_day")).agg(F.min_by("article_id", "turn").alias("_lead"))
     state = cut(
@@ -246,8 +247,11 @@ def assign(items: DataFrame, near: DataFrame) -> DataFrame:
             representatives(state.select("article_id", "outlet_id", "turn", "hour", "sig", "story"))
             .join(starts, "story", "left").join(leads, "story", "left")
             .select(F.col("sig").alias("other"), F.col("article_id").alias("_id"), F.col("outlet_id").alias("_outlet"),
-                    F.col("turn").alias("_turn"), F.col("story").alias("_story"), "start0", "lead"))
-        tried = wishes.join(options, "other").where((F.col("_outlet") != F.col("outlet_id")) & (F.col("_turn") < F.col("turn")))
+                    F.col("turn").alias("_turn"), "start0", "lead"))
+        # A story is open to articles within a day of its start: join on the days it can be open in.
+        days = F.array_distinct(F.concat(_days(F.least("start0", F.col("lead.at"))), _days(F.col("start0"))))
+        options = options.withColumn("on_day", F.explode(days))
+        tried = wishes.join(options, ["other", "on_day"]).where((F.col("_outlet") != F.col("outlet_id")) & (F.col("_turn") < F.col("turn")))
         start = F.when(F.col("lead") < F.col("turn"), F.least("start0", F.col("lead.at"))).otherwise(F.col("start0"))
         open_still = F.abs(F.unix_micros("seen") - F.unix_micros(start)) <= SPAN_SECONDS * 1_000_000
         best = tried.where(open_still).groupBy("article_id").agg(
@@ -264,6 +268,15 @@ def assign(items: DataFrame, near: DataFrame) -> DataFrame:
     return done.unionByName(alone)
 
 
+def _day(at: Column) -> Column:
+    return F.floor(F.unix_seconds(at) / SPAN_SECONDS)
+
+
+def _days(start: Column) -> Column:
+    day = _day(start)
+    return F.when(start.isNotNull(), F.sequence(day - 1, day + 1)).otherwise(F.array().cast("array<bigint>"))
+
+
 def _follow(chosen: DataFrame, hops: int = 3) -> DataFrame:
     """Stories from links, by pointer doubling: each pass doubles how far along its links an article has looked (the
     next round goes on from there)."""
@@ -286,7 +299,7 @@ def link_stories(articles: DataFrame, now: datetime | None = None, place_names:
     """
     pool = articles if now is None else articles.where(F.col("seen") >= F.lit(now - POOL))
     n = pool_size(pool)
-    packed = cut(vectors(cut(article_terms(pool, place_names)), n))
+    packed = cut(vectors(cut(article_terms(pool, place_names)), n))  # terms are read for their counts and for the vectors
     items = pool.select("article_id", "outlet_id", "seen", F.col("story_id").alias("given")).join(packed, "article_id", "left")
     live = items.where(F.coalesce(linkable(F.col("terms"), n), F.lit(False)))
     near = cut(neighbours(cut(signatures_of(live)), n))
@@ -309,8 +322,7 @@ def covered_stories(stories: DataFrame, articles: DataFrame, since: datetime) ->
     # Two outlets are enough: min and max differ (no distinct count needed).
     busy = members.where(F.col("seen") >= F.lit(since)).groupBy("story_id").agg(F.min("outlet_id").alias("a"), F.max("outlet_id").alias("b"))
     kept = members.join(busy.where("a <> b").select("story_id"), "story_id", "left_semi")
-    w = Window.partitionBy("story_id").orderBy("seen", "article_id")
-    return kept.withColumn("place", F.row_number().over(w))
+    return rank_in_group(kept, "story_id", "seen", "article_id", "place")
 
 
 def also_covered(stories: DataFrame, articles: DataFrame, outlets: DataFrame) -> DataFrame:

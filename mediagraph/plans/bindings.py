@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediagraph.session import use_utc
+from mediagraph.session import balanced, use_utc
 
 SQL = {
     "b_outlets": """SELECT s_suppkey AS outlet_id, concat('s', CAST(s_suppkey AS STRING), '.example.com') AS domain,
@@ -56,7 +56,8 @@ class Tables:
 
     @functools.cache  # noqa: B019 - a Tables lives as long as one query
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return balanced(scan) if name in ("documents", "pages") else scan  # texts: much work per row
 
     @property
     def outlets(self) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mediagraph.functions import fixed
 from mediagraph.functions import text as tx
-from mediagraph.operators import stories
+from mediagraph.operators import load, stories
 from mediagraph.plans.bindings import Tables
 from mediagraph.plans.registry import query
 from mediagraph.plans.text_queries import NORMAL, WORDS
@@ -137,9 +137,6 @@ def _(t: Tables) -> DataFrame:
 
 def story_pages(linked: DataFrame, articles: DataFrame, outlets: DataFrame) -> DataFrame:
     """Every story's members in shown order, with how many articles their outlet has in it."""
-    from pyspark.sql import Window
-
     rows = linked.join(articles.withColumn("shown", F.coalesce("stated", "seen")), "article_id").join(outlets.select("outlet_id", "display_name"), "outlet_id")
     per_outlet = rows.groupBy("story_id", "outlet_id").agg(F.count("*").alias("from_outlet"))
-    w = Window.partitionBy("story_id").orderBy("shown", "article_id")
-    return rows.withColumn("place", F.row_number().over(w)).join(per_outlet, ["story_id", "outlet_id"])
+    return load.rank_in_group(rows, "story_id", "shown", "article_id", "place").join(per_outlet, ["story_id", "outlet_id"])

@@ -214,14 +214,20 @@ def _(t: Tables) -> DataFrame:
     return coverage.host_counts(rows)
 
 
-@query("coverage_report", sql="WITH " + DOMAINS + HOSTCOUNT + """, own AS (SELECT o.domain, CAST(sum(c.articles) AS BIGINT) AS carried, CAST(sum(c.titled) AS BIGINT) AS with_titles, string_agg(c.host || '=' || c.articles, ' ' ORDER BY c.host) AS hosts
+@query("coverage_own_hosts", sql="WITH " + DOMAINS + HOSTCOUNT + """SELECT o.domain, c.host, c.articles FROM outs o JOIN counts c ON regexp_extract(c.host, '([^.]+\\.[^.]+\\.[^.]+)$', 1) = o.domain""")
+def _(t: Tables) -> DataFrame:
+    rows = t.read("pages").select("url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return coverage.own_hosts(page_outlets(t)[1], coverage.host_counts(rows))
+
+
+@query("coverage_report", sql="WITH " + DOMAINS + HOSTCOUNT + """, own AS (SELECT o.domain, CAST(sum(c.articles) AS BIGINT) AS carried, CAST(sum(c.titled) AS BIGINT) AS with_titles
   FROM outs o JOIN counts c ON regexp_extract(c.host, '([^.]+\\.[^.]+\\.[^.]+)$', 1) = o.domain GROUP BY o.domain)
 , free AS (SELECT c.host, c.articles, unnest(string_split(c.host, '.')) AS label FROM counts c WHERE regexp_extract(c.host, '([^.]+\\.[^.]+\\.[^.]+)$', 1) NOT IN (SELECT domain FROM outs))
 , labels AS (SELECT domain, unnest(list_filter(list_slice(string_split(domain, '.'), 1, -2), lambda p: length(p) >= 4 AND p NOT IN ('edition', 'news'))) AS label FROM outs)
 , pairs AS (SELECT DISTINCT l.domain, f.host, f.articles FROM labels l JOIN free f ON f.label = l.label)
 , top AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY articles DESC, host) AS n FROM pairs)
 , sim AS (SELECT domain, string_agg(host || '=' || articles, ' ' ORDER BY n) AS lookalikes FROM top WHERE n <= 5 GROUP BY domain)
-SELECT o.domain, coalesce(carried, 0) AS carried, coalesce(with_titles, 0) AS with_titles, coalesce(hosts, '') AS hosts, coalesce(lookalikes, '') AS lookalikes,
+SELECT o.domain, coalesce(carried, 0) AS carried, coalesce(with_titles, 0) AS with_titles, coalesce(lookalikes, '') AS lookalikes,
 CASE WHEN carried > 0 THEN 'carried' WHEN lookalikes IS NOT NULL THEN 'check look-alikes' ELSE 'not carried' END AS verdict
 FROM outs o LEFT JOIN own USING (domain) LEFT JOIN sim USING (domain)""")
 def _(t: Tables) -> DataFrame:
@@ -230,9 +236,7 @@ def _(t: Tables) -> DataFrame:
     stored = outlets.select("domain", F.lit(0).alias("stored_7d"))
     got = coverage.report(outlets.withColumn("display_name", F.col("domain")), coverage.host_counts(rows), stored)
     pair = lambda s: F.concat(s["host"], F.lit("="), s["articles"].cast("string"))
-    hosts = F.array_join(F.transform(F.map_entries("hosts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
-    return got.select("domain", "carried", "with_titles", F.coalesce(hosts, F.lit("")).alias("hosts"),
-                      F.coalesce(F.array_join(F.transform("lookalikes", pair), " "), F.lit("")).alias("lookalikes"), "verdict")
+    return got.select("domain", "carried", "with_titles", F.coalesce(F.array_join(F.transform("lookalikes", pair), " "), F.lit("")).alias("lookalikes"), "verdict")
 
 
 CALENDAR = """WITH span AS (SELECT date_trunc('hour', min(ts)) AS lo, min(ts) AS a, max(ts) AS b FROM events)
