@@ -29,11 +29,13 @@ def tags_by_theme(counts: DataFrame, tag_themes: DataFrame) -> DataFrame:
 def tags_by_section(labels: DataFrame, tag_sections: DataFrame) -> DataFrame:
     """(article_id, slug, evidence) from labels (article_id, pos, label): any part of a label equal to a section; the
     evidence is the first section in the tag's order, in the spelling first met."""
-    parts = labels.select("article_id", "pos", F.posexplode(tx.section_parts(F.col("label"))).alias("part_no", "part"))
-    keyed = parts.select("article_id", F.struct("pos", "part_no").alias("at"), F.trim("part").alias("part"), tx.normalize_text(F.col("part")).alias("section"))
-    first = keyed.where(F.col("section") != "").groupBy("article_id", "section").agg(F.min_by("part", "at").alias("part"))
-    hits = first.join(tag_sections, "section")
-    return hits.groupBy("article_id", "slug").agg(F.concat(F.lit("Outlet's section: "), F.min_by("part", "pos")).alias("evidence"))
+    # Outlets use the same labels over and over: each distinct one is taken apart and folded once, and only those that name
+    # a section of some tag go on to meet the articles.
+    parts = labels.select("label").distinct().select("label", F.posexplode(tx.section_parts(F.col("label"))).alias("part_no", "part"))
+    keyed = parts.select("label", "part_no", F.trim("part").alias("part"), tx.normalize_text(F.col("part")).alias("section"))
+    named = keyed.join(tag_sections.withColumnRenamed("pos", "section_no"), "section")
+    hits = labels.join(named, "label").groupBy("article_id", "slug", "section", "section_no").agg(F.min_by("part", F.struct("pos", "part_no")).alias("part"))
+    return hits.groupBy("article_id", "slug").agg(F.concat(F.lit("Outlet's section: "), F.min_by("part", "section_no")).alias("evidence"))
 
 
 def combine(by_theme: DataFrame, by_section: DataFrame, sections_only: DataFrame) -> DataFrame:
