@@ -19,8 +19,10 @@ def _per(df: DataFrame, prefix: str, key: str) -> DataFrame:
 
 
 def report(articles: DataFrame, outlets: DataFrame, cursors: DataFrame, funding: DataFrame, now: datetime,
-           dated_days: int = 3, interval: timedelta = timedelta(minutes=15)) -> DataFrame:
-    """Totals, dating, outlets behind or silent, each outlet's share of the last 24 hours, matches and funding counts.
+           dated_days: int = 3, interval: timedelta = timedelta(minutes=15), runs: DataFrame | None = None,
+           corrections: DataFrame | None = None) -> DataFrame:
+    """Totals, dating, outlets behind or silent, each outlet's share of the last 24 hours, matches and funding counts; with `runs`
+    (run_id, status, finished) the last run and the last full one, with `corrections` (state) how many are in each state.
 
     The article table is read once for the totals and once for the per-outlet counts; everything else is a dimension.
     """
@@ -47,6 +49,11 @@ def report(articles: DataFrame, outlets: DataFrame, cursors: DataFrame, funding:
         _per(active, "matches: ", "match_status"),
         _per(funding, "funding: ", "source"),
     ]
+    if runs is not None:
+        parts.append(_one(runs, "last run", F.max_by("status", "run_id")))
+        parts.append(_one(runs, "last full run", F.max(F.when(F.col("status") == "ok", F.col("finished")))))
+    if corrections is not None:
+        parts.append(_per(corrections, "corrections: ", "state"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -478,10 +478,17 @@ UNION ALL SELECT 'outlets behind', CAST(count(*) AS VARCHAR) FROM b_outlets o LE
 UNION ALL SELECT 'silent in 24 h', CAST(sum(CAST(n = 0 AS INT)) AS VARCHAR) FROM day
 UNION ALL SELECT 'last 24 h: ' || display_name, CAST(n * 100 // (SELECT sum(n) FROM day) AS VARCHAR) FROM day
 UNION ALL SELECT 'matches: ' || CASE WHEN entity_id IS NULL THEN 'unmatched' ELSE 'auto' END, CAST(count(*) AS VARCHAR) FROM b_outlets WHERE active GROUP BY entity_id IS NULL
-UNION ALL SELECT 'funding: ' || kind, CAST(count(*) AS VARCHAR) FROM b_funding GROUP BY kind""")
+UNION ALL SELECT 'funding: ' || kind, CAST(count(*) AS VARCHAR) FROM b_funding GROUP BY kind
+UNION ALL SELECT 'last run', arg_max(CASE article_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'partial' ELSE 'failed' END, article_id) FROM b_articles
+UNION ALL SELECT 'last full run', strftime(max(CASE WHEN article_id % 3 = 0 THEN date_trunc('day', seen) END), '%Y-%m-%d %H:%M:%S') FROM b_articles
+UNION ALL SELECT 'corrections: ' || tag, CAST(count(*) AS VARCHAR) FROM b_articles GROUP BY tag""")
 def _(t: Tables) -> DataFrame:
     outlets = t.outlets.withColumn("match_status", F.when(F.col("entity_id").isNull(), "unmatched").otherwise("auto"))
     articles = t.articles.withColumn("attempts", F.col("article_id") % 3)
-    return status.report(articles, outlets, cursors(t), t.funding.select(F.col("kind").alias("source")), NOW)
+    n = F.col("article_id")
+    state = F.when(n % 3 == 0, "ok").when(n % 3 == 1, "partial").otherwise("failed")
+    runs = t.articles.select(n.alias("run_id"), state.alias("status"), F.date_trunc("day", "seen").alias("finished"))
+    return status.report(articles, outlets, cursors(t), t.funding.select(F.col("kind").alias("source")), NOW, runs=runs,
+                         corrections=t.articles.select(F.col("tag").alias("state")))
 
 
