@@ -126,8 +126,8 @@ VISIBLE = "(retrieved <= {t} AND (coalesce(checked, TIMESTAMP '9999-01-01 00:00:
 AT = VISIBLE.format(t="TIMESTAMP '2024-01-15 12:00:00'")
 
 
-@query("feed_visible_at", AO, JOINED + f"""SELECT outlet_id, count(*) AS collected, sum(CAST({AT} AS INT)) AS shown_then,
-sum(CAST(retrieved < TIMESTAMP '2024-01-15 12:00:00' AS INT)) AS strictly FROM joined GROUP BY outlet_id""")
+@query("feed_visible_at", AO, JOINED + f"""SELECT outlet_id, count(*) AS collected, CAST(sum(CAST({AT} AS INT)) AS BIGINT) AS shown_then,
+CAST(sum(CAST(retrieved < TIMESTAMP '2024-01-15 12:00:00' AS INT)) AS BIGINT) AS strictly FROM joined GROUP BY outlet_id""")
 def _(t: Tables) -> DataFrame:
     rows = feed.matching(tables(t), FeedFilters())
     return rows.groupBy("outlet_id").agg(
@@ -146,13 +146,13 @@ def _(t: Tables) -> DataFrame:
     return feed.count_new(rows, datetime(2024, 1, 15, 6), hold)
 
 
-@query("feed_counts_per_outlet", AO, RANKED + """SELECT outlet_id, sum(CAST(n <= 3 AS INT)) AS articles, sum(CAST(n > 3 AS INT)) AS hidden
+@query("feed_counts_per_outlet", AO, RANKED + """SELECT outlet_id, CAST(sum(CAST(n <= 3 AS INT)) AS BIGINT) AS articles, CAST(sum(CAST(n > 3 AS INT)) AS BIGINT) AS hidden
 FROM ranked GROUP BY outlet_id""")
 def _(t: Tables) -> DataFrame:
     return feed.counts_per_outlet(feed.matching(tables(t), FeedFilters()))
 
 
-@query("feed_totals", AO, RANKED + "SELECT sum(CAST(n <= 3 AS INT)) AS total, sum(CAST(n > 3 AS INT)) AS hidden FROM ranked")
+@query("feed_totals", AO, RANKED + "SELECT CAST(sum(CAST(n <= 3 AS INT)) AS BIGINT) AS total, CAST(sum(CAST(n > 3 AS INT)) AS BIGINT) AS hidden FROM ranked")
 def _(t: Tables) -> DataFrame:
     return feed.totals(feed.matching(tables(t), FeedFilters()))
 
@@ -183,7 +183,7 @@ def _(t: Tables) -> DataFrame:
     return feed.recent_per_outlet(feed.matching(tables(t), FeedFilters())).select("article_id", "outlet_id", "shown", "place")
 
 
-COUNTS = """, counts AS (SELECT outlet_id, count(*) AS total, sum(CAST(seen >= TIMESTAMP '2024-01-01 00:00:00' AS INT)) AS recent FROM b_articles GROUP BY outlet_id)"""
+COUNTS = """, counts AS (SELECT outlet_id, count(*) AS total, CAST(sum(CAST(seen >= TIMESTAMP '2024-01-01 00:00:00' AS INT)) AS BIGINT) AS recent FROM b_articles GROUP BY outlet_id)"""
 
 
 def article_counts(t: Tables, now: datetime = NOW) -> DataFrame:

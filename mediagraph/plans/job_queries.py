@@ -63,7 +63,7 @@ def _(t: Tables) -> DataFrame:
     return load.progress(results(t))
 
 
-@query("ingest_run_status", AO, RESULTS + """, d AS (SELECT CAST(floor(slice / 100) AS BIGINT) AS run_id, count(*) AS queries, sum(CAST(error OR slice < 200 AS INT)) AS errors FROM results GROUP BY 1)
+@query("ingest_run_status", AO, RESULTS + """, d AS (SELECT CAST(floor(slice / 100) AS BIGINT) AS run_id, count(*) AS queries, CAST(sum(CAST(error OR slice < 200 AS INT)) AS BIGINT) AS errors FROM results GROUP BY 1)
 SELECT run_id, queries, errors, CASE WHEN errors = queries THEN 'failed' WHEN errors > 0 THEN 'partial' ELSE 'ok' END AS status FROM d""")
 def _(t: Tables) -> DataFrame:
     rows = results(t).withColumn("run_id", F.floor(F.col("slice") / 100)).withColumn("error", F.col("error") | (F.col("slice") < 200))

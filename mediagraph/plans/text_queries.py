@@ -205,7 +205,7 @@ def _(t: Tables) -> DataFrame:
     return coverage.match_hosts(pages.select("page_id", "host"), outlets).select("page_id", "host", "domain")
 
 
-HOSTCOUNT = """, counts AS (SELECT host, count(*) AS articles, sum(CASE WHEN regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' THEN 1 ELSE 0 END) AS titled FROM hosts GROUP BY host)"""
+HOSTCOUNT = """, counts AS (SELECT host, count(*) AS articles, CAST(sum(CASE WHEN regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS titled FROM hosts GROUP BY host)"""
 
 
 @query("host_counts", sql="WITH " + DOMAINS + HOSTCOUNT + "SELECT host, articles, titled FROM counts")
