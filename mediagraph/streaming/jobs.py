@@ -69,7 +69,7 @@ class CollectJob:
         keyed = records.withColumn("url_key", url.canonical_key(F.col("url")))
         outlets = self.outlets()
         known = keyed.join(outlets.select("domain", "outlet_id"), "domain")
-        fresh = load.new_articles(known, self.table("articles", batch_id))
+        fresh = load.new_articles(known, self.table("articles", batch_id), small_batch=True)
         # Ids in order of arrival, within the batch's own range: a replay gives the same article the same id.
         numbered = load.number_rows(fresh, [F.col("arrival"), F.col("url_key")], "_n")
         fresh = numbered.withColumn("article_id", F.lit(batch_id).cast("bigint") * F.lit(BATCH_IDS) + F.col("_n")).drop("_n")
