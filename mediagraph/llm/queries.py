@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mediagraph.llm import language_id, quality_rules
+from mediagraph.llm import language_id, quality_rules, substring_dedup
 from mediagraph.llm.tables import query, read
 
 
@@ -23,3 +23,9 @@ def op2(spark, folder):
     models = language_id.fit_models(docs.where("doc_id is not null").where(~held_out))
     rows = language_id.with_language(docs, models, keep=["doc_id"])
     return rows.select("doc_id", held_out.alias("held_out"), "language.*")
+
+
+@query("op3_substring_dedup")
+def op3(spark, folder):
+    rows = substring_dedup.without_repeats(read(spark, folder, "documents"), keep=["doc_id"])
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
