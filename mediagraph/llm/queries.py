@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mediagraph.llm import language_id, quality_rules, substring_dedup
+from mediagraph.llm import language_id, ngram_jaccard, quality_rules, substring_dedup
 from mediagraph.llm.tables import query, read
 
 
@@ -29,3 +29,8 @@ def op2(spark, folder):
 def op3(spark, folder):
     rows = substring_dedup.without_repeats(read(spark, folder, "documents"), keep=["doc_id"])
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op6_ngram_jaccard")
+def op6(spark, folder):
+    return ngram_jaccard.near_duplicates(read(spark, folder, "documents"))
