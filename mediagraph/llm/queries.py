@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mediagraph.llm import language_id, ngram_jaccard, quality_rules, substring_dedup
+from mediagraph.llm import embedding_dedup, language_id, ngram_jaccard, quality_rules, substring_dedup
 from mediagraph.llm.tables import query, read
 
 
@@ -34,3 +34,8 @@ def op3(spark, folder):
 @query("op6_ngram_jaccard")
 def op6(spark, folder):
     return ngram_jaccard.near_duplicates(read(spark, folder, "documents"))
+
+
+@query("op8_embedding_dedup")
+def op8(spark, folder):
+    return embedding_dedup.near_vectors(read(spark, folder, "embeddings"))
