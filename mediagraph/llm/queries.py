@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from mediagraph.llm import embedding_dedup, language_id, ngram_jaccard, quality_rules, substring_dedup
+from mediagraph.llm import bpe, embedding_dedup, language_id, ngram_jaccard, packing, quality_rules, substring_dedup
 from mediagraph.llm.tables import query, read
 
 
@@ -39,3 +40,15 @@ def op6(spark, folder):
 @query("op8_embedding_dedup")
 def op8(spark, folder):
     return embedding_dedup.near_vectors(read(spark, folder, "embeddings"))
+
+
+@query("op9_bpe")
+def op9(spark, folder):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = bpe.encoded(read(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.digests(rows, path, public_tokenizers.PATTERN)
+
+
+@query("op10_packing")
+def op10(spark, folder):
+    return packing.packed_documents(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
