@@ -34,11 +34,12 @@ from pyspark.sql.types import LongType
 
 from mediagraph.llm import words
 from mediagraph.llm.components import components
+from mediagraph.llm.wanted import split
 from mediagraph.session import cut
 
 SHINGLE, PERCENT = 4, 85
-#: Counters of the shingle order, members of a group, bits of the bitmap of wanted sets (8 MB).
-COUNTER_BITS, GROUP, WANTED_BITS = 18, 64, 26
+#: Counters of the shingle order, members of a group.
+COUNTER_BITS, GROUP = 18, 64
 KEYS = ("key0", "key1", "key2", "key3")
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -218,31 +219,28 @@ def star_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def wanted_bitmap(texts: DataFrame) -> np.ndarray:
-    """Bits of the wanted texts (th), of bounded size whatever their number. A text that isn't wanted may pass; none that is gets lost."""
-    bit = F.pmod(F.xxhash64("th"), F.lit(1 << WANTED_BITS)) + 1  # these functions count from 1
-    rows = texts.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros(1 << (WANTED_BITS - 3), np.uint8)
-    for row in rows.collect():  # at most 2,048 rows of 4 KB
-        out[4096 * (row["bucket"] - 1) : 4096 * row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
-    return out
+def sets_asked(ask: DataFrame) -> DataFrame:
+    """(sig) of all sets in open questions (q, part, asked), listed once per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.unique(np.concatenate((batch.column(0).to_numpy(), batch.column(2).flatten().to_numpy())))
+            yield pa.RecordBatch.from_arrays([pa.array(both)], ["sig"])
+
+    return ask.mapInArrow(run, "sig bigint")
 
 
-def full_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(sig, tokens) of the sets in `pairs` (a, b), rebuilt from the texts (th, text) of just those."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(sets.select("sig", "th"), "sig"))
-    shipped = docs.sparkSession.sparkContext.broadcast(wanted_bitmap(wanted.select("th")))
+def full_sets(docs: DataFrame, sets: DataFrame, sigs: DataFrame, size: int) -> DataFrame:
+    """(sig, tokens) of the sets in `sigs`, rebuilt from the texts (th, text) of just those."""
+    wanted = cut(sigs.distinct().join(sets.select("sig", "th"), "sig"))
+    some, _ = split(docs.select("th", "text"), "th", wanted.select("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shipped.value
         for batch in batches:
-            spot = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1))
             found = {(th, set_hash(x)): x.tobytes() for th, x in zip(batch.column(0).to_pylist(), batch_sets(batch.column(1), size), strict=True)}
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.binary())], ["th", "sig", "tokens"])
 
-    bit = F.pmod(F.xxhash64("th"), F.lit(1 << WANTED_BITS))
-    rebuilt = docs.select("th", "text", bit.alias("bit")).mapInArrow(run, "th bigint, sig bigint, tokens binary")
+    rebuilt = some.mapInArrow(run, "th bigint, sig bigint, tokens binary")
     return cut(rebuilt.join(wanted, ["th", "sig"]).dropDuplicates(["sig"]).select("sig", "tokens"))
 
 
@@ -349,13 +347,13 @@ def still_apart(rows: DataFrame, clusters: DataFrame) -> DataFrame:
 def linked_sets(docs: DataFrame, sets: DataFrame, posted: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) of the sets that link with another."""
     stars = cut(star_pairs(sets, percent))
-    edges = cut(linked(stars, full_sets(docs, sets, stars, size), percent))
+    edges = cut(linked(stars, full_sets(docs, sets, stars.select(F.col("a").alias("sig")).union(stars.select("b")), size), percent))
     clusters = cut(components(edges))
     groups = cut(grouped(sets, clusters))
     ask = cut(opened(matrix_hits(posted, groups, percent), groups, percent))
     if ask.isEmpty():
         return clusters
-    full = full_sets(docs, sets, ask.select(F.col("q").alias("a"), F.explode("asked").alias("b")), size)
+    full = full_sets(docs, sets, sets_asked(ask), size)
     many = 1
     while True:
         rows = cut(still_apart(ask, clusters))

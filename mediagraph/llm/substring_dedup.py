@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from mediagraph.llm import words
+from mediagraph.llm.wanted import split
+from mediagraph.session import cut
 
 SIZE, BASE_SIZE = 20, 10
 #: How a row takes part at its key: alone, known to repeat already, or first of several in its batch.
@@ -123,7 +125,8 @@ def repeated(places: DataFrame) -> DataFrame:
 
 def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(doc, text, places) of the documents that have surviving places."""
-    return docs.join(places.groupBy("doc").agg(F.collect_list("at").alias("places")), "doc")
+    listed = cut(places.groupBy("doc").agg(F.collect_list("at").alias("places")))
+    return split(docs, "doc", listed.select("doc"))[0].join(listed, "doc")
 
 
 def lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
@@ -261,7 +264,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, base: int = BASE_SIZE, id
     for length in lengths[1:-1]:
         places = repeated(extended_places(with_places(own, places), length))
     found = with_places(own, places).select("doc", "text", "places", F.xxhash64("text").alias("th"))
-    runs = covered(full_windows(found, size, base, reach)).groupBy("doc", "th").agg(F.collect_list(F.struct("at", "flags")).alias("runs"))
+    runs = cut(covered(full_windows(found, size, base, reach)).groupBy("doc", "th").agg(F.collect_list(F.struct("at", "flags")).alias("runs")))
 
     names = []
     for name in ("n_words", "n_removed", "kept_text"):
@@ -269,7 +272,9 @@ def without_repeats(docs: DataFrame, size: int = SIZE, base: int = BASE_SIZE, id
     body, doc, th = (words.free_name(keep, f"{x}_to_cut") for x in ("text", "doc", "hash"))
     given = docs.select(*keep, F.col(text).alias(body), F.col(id_col).cast(LongType()).alias(doc), F.xxhash64(F.col(text)).alias(th))
     runs = runs.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("runs").alias(words.free_name(keep, "runs_to_cut")))
-    joined = given.join(runs, [doc, th], "left").select(*[f"`{c}`" for c in keep], body, runs.columns[-1])
+    some, rest = split(given, doc, runs.select(doc))  # only texts that may lose words travel
+    joined = some.join(runs, [doc, th], "left").unionByName(rest.withColumn(runs.columns[-1], F.lit(None).cast(runs.schema[-1].dataType)))
+    joined = joined.select(*[f"`{c}`" for c in keep], body, runs.columns[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
