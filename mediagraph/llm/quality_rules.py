@@ -58,8 +58,8 @@ def text_stats(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(buf == 0x0A)
     line_starts = np.union1d(filled, breaks + 1)
     line_starts = line_starts[line_starts < len(buf)]
-    line_ends = np.append(line_starts[1:], len(buf))
-    line_ends = line_ends - (buf[line_ends - 1] == 0x0A) if len(line_ends) else line_ends
+    line_ends = np.append(line_starts[1:], len(buf)) if len(line_starts) else line_starts
+    line_ends = line_ends - (buf[line_ends - 1] == 0x0A) if len(buf) else line_ends
     line_row = np.searchsorted(offsets, line_starts, side="right") - 1
     sums = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(solid, out=sums[1:])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mediagraph.llm import bpe, embedding_dedup, language_id, ngram_jaccard, packing, quality_rules, substring_dedup
+from mediagraph.llm import bpe, embedding_dedup, html_text, language_id, ngram_jaccard, packing, quality_rules, substring_dedup, url_filters, warc
 from mediagraph.llm.tables import query, read
 
 
@@ -52,3 +52,24 @@ def op9(spark, folder):
 @query("op10_packing")
 def op10(spark, folder):
     return packing.packed_documents(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query("op4_warc")
+def op4(spark, folder):
+    manifest = warc.write_archives(read(spark, folder, "pages"), warc.archive_folder(spark))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_url_filters")
+def op5(spark, folder):
+    rules = [
+        url_filters.UrlRule("com", "/", allow=True), url_filters.UrlRule("example.com", "/en/", allow=False),
+        url_filters.UrlRule("www.example.com", "/en/", allow=True), url_filters.UrlRule("net", "/es/", allow=False),
+        url_filters.UrlRule("net", "/fr/", allow=False),
+    ]
+    return url_filters.judged(read(spark, folder, "pages"), rules, keep=["page_id"])
+
+
+@query("op7_html_text")
+def op7(spark, folder):
+    return html_text.with_text(read(spark, folder, "pages"), keep=["page_id", "url"])
