@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediagraph.llm import language_id, quality_rules
+from mediagraph.llm import language_id, ngram_jaccard, packing, quality_rules, substring_dedup
 from mediagraph.llm.tables import read
-from mediagraph.session import checkpoint_dir
+from mediagraph.llm.wanted import split
+from mediagraph.session import checkpoint_dir, cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("lang", F.col("language.lang_pred")).select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality), ("language_id", language)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id. Rows without an id stay."""
+    groups = ngram_jaccard.near_duplicates(docs)
+    gone = cut(groups.where("component_id <> doc_id").select("doc_id").distinct())
+    some, rest = split(docs, "doc_id", gone)
+    return some.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(rest)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that stand earlier; those that lose nothing stay as they are."""
+    rows = substring_dedup.without_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality_rules", quality), ("language_id", language), ("ngram_jaccard", near_duplicates), ("substring_dedup", repeats), ("best_fit_packing", sequences)]
 #: The learned stages are beyond SQL; tests/llm compare each stage with a plain version instead.
 ORACLE_SQL = None
 
