@@ -75,6 +75,13 @@ def normalize_text(c: Column) -> Column:
     return collapse(F.when(c.rlike(r"[^\x00-\x7f]"), folded).otherwise(F.lower(c)))
 
 
+def fold_as_columns(value: str) -> str:
+    """What `normalize_text` makes of a value, on the driver: settings and search words must be folded as the columns they meet."""
+    single, target, gone, wide = _fold_tables()
+    table = dict(zip(map(ord, single), target, strict=True)) | dict.fromkeys(map(ord, gone), "") | {ord(ch): folded for ch, folded in wide}
+    return " ".join(value.translate(table).lower().split())
+
+
 @F.pandas_udf(T.StringType())
 def normalize_text_exact(values: pd.Series) -> pd.Series:
     """`normalize_text` for all of Unicode, at the price of an Arrow hop."""
@@ -96,8 +103,8 @@ def unescape_basic(c: Column) -> Column:
 
 
 def tidy_title(c: Column) -> Column:
-    """Control and unassigned characters become spaces, white space collapses, 500 characters kept."""
-    return F.left(collapse(F.regexp_replace(c, r"\p{C}", " ")), F.lit(500))
+    """Control and unassigned characters become spaces, white space collapses."""
+    return collapse(F.regexp_replace(c, r"\p{C}", " "))
 
 
 def clean_title(c: Column, exact: bool = True) -> Column:

@@ -15,8 +15,8 @@ _QUERY = r"^[^?#]*\?([^#]*)"
 
 
 def is_http_url(c: Column) -> Column:
-    """Present, at most 2048 characters, no white space, http or https, with a host."""
-    return F.coalesce((F.length(c) <= 2048) & ~c.rlike(r"[\s\u00a0\u2028\u2029]") & c.rlike(_HTTP), F.lit(False))
+    """Present, no white space, http or https, with a host."""
+    return F.coalesce(~c.rlike(r"[\s\u00a0\u2028\u2029]") & c.rlike(_HTTP), F.lit(False))
 
 
 def host_of(c: Column) -> Column:

@@ -12,7 +12,7 @@ _ISO = (
     r"(Z|[+-]\d{2}(?::?\d{2}(?::\d{2})?)?)$"
 )
 _RFC = (
-    r"(?i)^(?:[a-z]{3,9},?\s+)?(\d{1,2})[ -]+([a-z]{3})[a-z]*[ -]+(\d{4}),?\s+(\d{1,2}:\d{2})(:\d{2})?\s+"
+    r"(?i)^(?:[a-z]{3,9},?\s+)?(\d{1,2})[ -]+([a-z]{3})[a-z]*[ -]+(\d{4}|\d{2}),?\s+(\d{1,2}:\d{2})(:\d{2})?\s+"
     r"([+-]\d{4}|ut|utc|gmt|z|est|edt|cst|cdt|mst|mdt|pst|pdt)(?:\s*\(.*\))?$"
 )
 # Zone names of the mail date format, as offsets.
@@ -55,7 +55,9 @@ def parse_mail_ts(c: Column) -> Column:
     seconds = F.when(part(5) == "", ":00").otherwise(part(5))
     clock = F.lpad(part(4), 5, "0")
     day = F.lpad(part(1), 2, "0")
-    iso = F.concat(part(3), F.lit("-"), month, F.lit("-"), day, F.lit("T"), clock, seconds, zone)
+    # two digits: 69 and later are of the last century, as mail readers take them
+    year = F.when(F.length(part(3)) == 4, part(3)).otherwise(F.concat(F.when(part(3) >= "69", "19").otherwise("20"), part(3)))
+    iso = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit("T"), clock, seconds, zone)
     return F.when(text.rlike(_RFC), _at(iso))
 
 

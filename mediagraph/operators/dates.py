@@ -11,7 +11,7 @@ from mediagraph.functions import fixed, url, when
 
 ARTICLE_TYPE = r"(Article|BlogPosting|Report)( |$)"
 TYPED, UNTYPED = "schema.org datePublished", "schema.org datePublished (untyped)"
-MAX_ATTEMPTS, MAX_SECTIONS = 2, 30
+MAX_ATTEMPTS = 2
 SUSPECT_SECONDS = 3 * 3600
 
 
@@ -72,20 +72,20 @@ def explain(cands: DataFrame, seen: DataFrame, chosen: DataFrame, key: str = "pa
 
 
 def section_labels(scanned: DataFrame) -> DataFrame:
-    """Scanned pages with `sections`: their own section and topic labels in page order, lists taken apart, once each,
-    at most 30 of 100 characters."""
+    """Scanned pages with `sections`: their own section and topic labels in page order, lists taken apart, once each."""
     listed = lambda e: e["key"].isin(*fixed.LIST_META, "keywords")
     parts = F.flatten(F.transform("labels", lambda e: F.when(listed(e), F.split(e["value"], ",")).otherwise(F.array(e["value"]))))
-    tidy = F.transform(parts, lambda p: F.left(F.trim(F.regexp_replace(F.left(F.trim(p), F.lit(100)), r"\s+", " ")), F.lit(100)))
-    return scanned.withColumn("sections", F.slice(F.array_distinct(F.filter(tidy, lambda p: p != "")), 1, MAX_SECTIONS))
+    tidy = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+    return scanned.withColumn("sections", F.array_distinct(F.filter(tidy, lambda p: p != "")))
 
 
-def due_pages(articles: DataFrame, now: datetime, limit: int = 150, max_age: timedelta = timedelta(days=3)) -> DataFrame:
-    """Recent undated articles worth a check, newest first (a top-k)."""
+def due_pages(articles: DataFrame, now: datetime, limit: int | None = None, max_age: timedelta = timedelta(days=3)) -> DataFrame:
+    """Recent undated articles worth a check, newest first; with `limit`, the caller's crawl quota, a top-k."""
     rows = articles.where(
         F.col("stated").isNull() & (F.col("attempts") < MAX_ATTEMPTS) & (F.col("seen") >= F.lit(now - max_age))
         & (F.col("checked").isNull() | (F.col("checked") < F.lit(now - timedelta(hours=1)))))
-    return rows.orderBy(F.desc("seen"), F.desc("article_id")).limit(limit)
+    rows = rows.orderBy(F.desc("seen"), F.desc("article_id"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def attempt_state(fetched: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediagraph.functions import fixed, ids, url
-from mediagraph.session import broadcast_if_small, cut
+from mediagraph.session import cut
 
 
 # ---------------------------------------------------------------- articles
@@ -22,17 +22,14 @@ def first_per_key(rows: DataFrame, key: str = "url_key", arrival: str = "arrival
     return rows.groupBy(key).agg(first, F.count("*").alias("copies")).select(key, "_first.*", "copies")
 
 
-def new_articles(rows: DataFrame, stored: DataFrame, key: str = "url_key", small_batch: bool = False) -> DataFrame:
+def new_articles(rows: DataFrame, stored: DataFrame, key: str = "url_key") -> DataFrame:
     """The batch's first row per key, for keys not stored yet. Existing rows win.
 
-    With `small_batch` (a micro-batch against years of articles) the stored keys are first narrowed to the batch's own by a semi join
-    whose small side is broadcast when it has been counted to be small: the long table is scanned, not shuffled.
+    The batch's first rows are a written table of known size, so the optimizer can narrow years of stored keys to the batch's own
+    without a shuffle where the batch is small, and joins by shuffle where it is not.
     """
-    first = first_per_key(rows, key)
-    known = stored.select(key)
-    if small_batch:
-        first = cut(first)
-        known = known.join(broadcast_if_small(first.select(key)), key, "left_semi")
+    first = cut(first_per_key(rows, key))
+    known = stored.select(key).join(first.select(key), key, "left_semi")
     return first.join(known, key, "left_anti")
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from mediagraph.functions import text as tx
 from mediagraph.session import cut
 
-MAX_TOKENS = 20
 K1, B = 1.2, 0.75
 WEIGHTS = {"title": 10.0, "about": 1.0}
 IDF_FLOOR = 1e-6
@@ -26,7 +25,7 @@ class SearchTerms:
 
     @classmethod
     def parse(cls, query: str) -> SearchTerms | None:
-        words = [tx.fold_text(w) for w in re.findall(r"\w+", query)[:MAX_TOKENS]]
+        words = [tx.fold_as_columns(w) for w in re.findall(r"\w+", query)]
         words = [piece for w in words for piece in re.split(r"[^\w]|_", w) if piece]
         return cls(tuple(words[:-1]), words[-1]) if words else None
 

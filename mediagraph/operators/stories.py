@@ -90,9 +90,9 @@ def term_weights(terms: DataFrame, n: int) -> DataFrame:
     return counted.withColumn("weight", weight(F.col("df"), n))
 
 
-# A vector is an array of strings: the term's count in twelve digits, then the term. Sorted, that is rarest first; and
+# A vector is an array of strings: the term's count in nineteen digits (any long), then the term. Sorted, that is rarest first; and
 # intersecting arrays of strings hashes, where arrays of structs are compared element by element.
-DIGITS = 12
+DIGITS = 19
 
 
 def _df(key: Column) -> Column:
@@ -138,27 +138,28 @@ def accepted(shared: Column, score: Column) -> Column:
 def similar_signatures(signatures: DataFrame, n: int) -> DataFrame:
     """(sig_a, sig_b, score, shared) with sig_a < sig_b for every pair of signatures that may link.
 
-    `signatures` is (sig, terms, first_seen, last_seen, fixed): the span of times it was seen, and whether any of its articles
-    already has a story. Two new signatures seen more than a story's span apart cannot link; with a fixed one
-    they might, as its story's start counts.
+    `signatures` is (sig, terms, first_seen, last_seen, fresh): the span of times that count for it, and whether any of its articles
+    is still without a story. Spans more than a story's length apart cannot link, so the join is on the term and the day: one side
+    stands on the days of its span, the other also on the days around. Of two sides one must be fresh.
     """
     common = common_limit(n)
     rows = signatures.where(linkable(F.col("terms"), n)).withColumn("_norm", norm(F.col("terms"), n))
-    listed = rows.select("sig", "first_seen", "last_seen", "fixed", "_norm", F.posexplode("terms").alias("_pos", "_key"))
+    listed = rows.select("sig", "first_seen", "last_seen", "fresh", "_norm", F.posexplode("terms").alias("_pos", "_key"))
     # What is left of the vector from each term on, as a share of its norm. A group is one distinct text's terms.
     left_over = Window.partitionBy("sig").orderBy(F.desc("_pos"))
     listed = listed.withColumn("_df", _df(F.col("_key"))).withColumn(
         "_rest", F.sqrt(F.sum(F.pow(weight(F.col("_df"), n), 2)).over(left_over)) / F.col("_norm"))
     listed = listed.where((F.col("_df") <= common) & (F.col("_rest") >= FLOOR - EPS))
     parts = F.greatest(F.lit(1), F.ceil(F.col("_df") / HOT_TERM)).cast("int")
-    base = listed.select("sig", "first_seen", "last_seen", "fixed", "_rest", F.col("_key").alias("term"), parts.alias("_parts"))
-    left = base.withColumn("_salt", F.pmod(F.xxhash64("sig"), F.col("_parts")).cast("int")).drop("_parts").alias("a")
-    right = base.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").alias("b")
+    base = listed.select("sig", "first_seen", "last_seen", "fresh", "_rest", F.col("_key").alias("term"), parts.alias("_parts"))
+    on_days = lambda rows, around: rows.withColumn("_day", F.explode(F.sequence(_day(F.col("first_seen")) - around, _day(F.col("last_seen")) + around)))
+    left = on_days(base.withColumn("_salt", F.pmod(F.xxhash64("sig"), F.col("_parts")).cast("int")).drop("_parts"), 0).alias("a")
+    right = on_days(base.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts"), 1).alias("b")
     near = (
-        F.col("a.fixed") | F.col("b.fixed")
-        | (F.unix_micros("a.first_seen") - F.unix_micros("b.last_seen") <= SPAN_SECONDS * 1_000_000)
+        (F.col("a.fresh") | F.col("b.fresh"))
+        & (F.unix_micros("a.first_seen") - F.unix_micros("b.last_seen") <= SPAN_SECONDS * 1_000_000)
         & (F.unix_micros("b.first_seen") - F.unix_micros("a.last_seen") <= SPAN_SECONDS * 1_000_000))
-    met = left.join(right, (F.col("a.term") == F.col("b.term")) & (F.col("a._salt") == F.col("b._salt")) & (F.col("a.sig") < F.col("b.sig"))
+    met = left.join(right, (F.col("a.term") == F.col("b.term")) & (F.col("a._day") == F.col("b._day")) & (F.col("a._salt") == F.col("b._salt")) & (F.col("a.sig") < F.col("b.sig"))
                     & (F.col("a._rest") * F.col("b._rest") >= FLOOR - EPS) & near)
     pairs = met.select(F.col("a.sig").alias("sig_a"), F.col("b.sig").alias("sig_b")).distinct()
     # Whole vectors join back by signature, once per pair, however long a text is.
@@ -171,10 +172,15 @@ def similar_signatures(signatures: DataFrame, n: int) -> DataFrame:
 
 
 def signatures_of(items: DataFrame) -> DataFrame:
-    """One row per signature of items (sig, terms, seen, given)."""
+    """One row per signature of items (sig, terms, seen, given, start).
+
+    What counts for an article with a story is not when it was seen but the story's `start`, which a new member can still
+    move a day back.
+    """
+    from_, to = F.coalesce(F.col("start") - F.expr(f"INTERVAL {SPAN_SECONDS} SECOND"), F.col("seen")), F.coalesce("start", "seen")
     return items.groupBy("sig").agg(
-        F.any_value("terms").alias("terms"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"),
-        F.bool_or(F.col("given").isNotNull()).alias("fixed"), F.count("*").alias("copies"), F.min("article_id").alias("lead"))
+        F.any_value("terms").alias("terms"), F.min(from_).alias("first_seen"), F.max(to).alias("last_seen"),
+        F.bool_or(F.col("given").isNull()).alias("fresh"), F.count("*").alias("copies"), F.min("article_id").alias("lead"))
 
 
 def neighbours(signatures: DataFrame, n: int) -> DataFrame:
@@ -302,7 +308,8 @@ def link_stories(articles: DataFrame, now: datetime | None = None, place_names:
     packed = cut(vectors(cut(article_terms(pool, place_names)), n))  # terms are read for their counts and for the vectors
     items = pool.select("article_id", "outlet_id", "seen", F.col("story_id").alias("given")).join(packed, "article_id", "left")
     live = items.where(F.coalesce(linkable(F.col("terms"), n), F.lit(False)))
-    near = cut(neighbours(cut(signatures_of(live)), n))
+    begun = pool.where(F.col("story_id").isNotNull()).groupBy(F.col("story_id").alias("given")).agg(F.min("seen").alias("start"))
+    near = cut(neighbours(cut(signatures_of(live.join(begun, "given", "left"))), n))
     # Articles nothing can link to start stories of their own. A signature of their own keeps them apart: a headline
     # so common that it links nothing is not gathered anywhere.
     own = F.concat(F.lit("-"), F.col("article_id").cast("string"))

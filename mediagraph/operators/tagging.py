@@ -59,7 +59,7 @@ def retag(counts: DataFrame, labels: DataFrame, tag_themes: DataFrame, tag_secti
 def tag_dimensions(spark, tags: list[dict]) -> tuple[DataFrame, DataFrame]:
     """The two dimension tables from tag settings: [{slug, label, themes, sections, min_mentions}]."""
     themes = [(t["slug"], theme, int(t.get("min_mentions", 3))) for t in tags for theme in t.get("themes", ())]
-    sections = [(t["slug"], tx.fold_text(s), i) for t in tags for i, s in enumerate(t.get("sections", ())) if tx.fold_text(s)]
+    sections = [(t["slug"], tx.fold_as_columns(s), i) for t in tags for i, s in enumerate(t.get("sections", ())) if tx.fold_as_columns(s)]
     return (spark.createDataFrame(themes, "slug string, theme string, min_mentions int"),
             spark.createDataFrame(sections, "slug string, section string, pos int"))
 

@@ -264,15 +264,15 @@ def _(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- names, funding
 
 # Items: customers named by segment and nation; some names stand for several items.
-NAMED = """, items AS (SELECT c_custkey AS entity_id, 'Q' || (c_custkey + 1) AS qid, 'Brand ' || (c_custkey % 40) || CASE WHEN c_custkey % 3 = 0 THEN ' Inc.' ELSE '' END AS name FROM customer WHERE c_custkey % 40 > 20 OR c_custkey < 40)
+NAMED = """, items AS (SELECT c_custkey AS entity_id, 'Q' || (c_custkey + 1) AS qid, 'Brand ' || CASE WHEN c_custkey < 40 THEN c_custkey ELSE 21 + c_custkey % 19 END || CASE WHEN c_custkey % 3 = 0 THEN ' Inc.' ELSE '' END AS name FROM customer)
 , keys AS (SELECT regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), '( inc)? *$', '') AS k, qid FROM items), uniq AS (SELECT k, min(qid) AS qid FROM keys GROUP BY k HAVING count(DISTINCT qid) = 1)
 , art AS (SELECT m.article_id, replace(m.name, '#', ' ') AS name, count(*) AS n, 'o' || (m.article_id % 25) || '.com' AS domain, 'Brand ' || (m.article_id % 25) AS own FROM b_mentions m GROUP BY ALL)"""
 
 
 def named_items(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
-    name = F.concat(F.lit("Brand "), (k % 40).cast("string"), F.when(k % 3 == 0, " Inc.").otherwise(""))
-    return t.read("customer").where((k % 40 > 20) | (k < 40)).select(
+    name = F.concat(F.lit("Brand "), F.when(k < 40, k).otherwise(21 + k % 19).cast("string"), F.when(k % 3 == 0, " Inc.").otherwise(""))
+    return t.read("customer").select(
         k.alias("entity_id"), F.concat(F.lit("Q"), (k + 1).cast("string")).alias("qid"), name.alias("name"), F.array().cast("array<string>").alias("aliases"))
 
 

@@ -12,13 +12,13 @@ from mediagraph.plans.registry import query
 from mediagraph.session import checkpoint_dir
 from mediagraph.streaming import jobs
 
-SLOTS = """SELECT time_bucket(INTERVAL '15' MINUTE, ts - INTERVAL '1' MICROSECOND) + INTERVAL '15' MINUTE AS slot, user_id % 10 AS outlet_id, count(*) AS articles FROM events GROUP BY 1, 2"""
+SLOTS = """SELECT time_bucket(INTERVAL '15' MINUTE, ts - INTERVAL '1' MICROSECOND) + INTERVAL '15' MINUTE AS slot, user_id AS outlet_id, count(*) AS articles FROM events GROUP BY 1, 2"""
 
 
 def events_of(t: Tables, stream: bool) -> DataFrame:
     schema = t.read("events").schema
     reader = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet") if stream else t.spark.read.schema(schema).option("pathGlobFilter", "events.parquet")
-    return reader.parquet(t.folder).select(F.col("ts").cast("timestamp").alias("seen"), (F.col("user_id") % 10).alias("outlet_id"))
+    return reader.parquet(t.folder).select(F.col("ts").cast("timestamp").alias("seen"), F.col("user_id").alias("outlet_id"))
 
 
 @query("slot_counts_batch", sql=SLOTS)

@@ -27,7 +27,7 @@ def varied() -> Column:
 HOST = "lower(regexp_extract({u}, '(?i)^https?://([^/?#:]+)', 1))"
 
 
-@query("url_validity_and_host", sql=f"""SELECT page_id, regexp_matches(u, '(?i)^https?://[^/?#]') AND NOT contains(u, ' ') AND length(u) <= 2048 AS valid,
+@query("url_validity_and_host", sql=f"""SELECT page_id, regexp_matches(u, '(?i)^https?://[^/?#]') AND NOT contains(u, ' ') AS valid,
 {HOST.format(u='u')} AS host FROM (SELECT page_id, {VARIED} AS u FROM pages)""")
 def _(t: Tables) -> DataFrame:
     rows = t.read("pages").select("page_id", varied().alias("u"))
@@ -80,7 +80,7 @@ def _(t: Tables) -> DataFrame:
 
 
 UNESCAPED = "replace(replace(replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"
-TIDY = "left(trim(regexp_replace(regexp_replace({c}, '\\p{{C}}', ' ', 'g'), '[\\s\\x{{00a0}}]+', ' ', 'g')), 500)"
+TIDY = "trim(regexp_replace(regexp_replace({c}, '\\p{{C}}', ' ', 'g'), '[\\s\\x{{00a0}}]+', ' ', 'g'))"
 
 
 @query("titles_clean", sql=f"""SELECT page_id, {TIDY.format(c=UNESCAPED.format(c="regexp_extract(html, '<title>([^<]*)</title>', 1)"))} AS title FROM pages""")

@@ -62,19 +62,3 @@ def cut(df: DataFrame) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only once the side has been counted to be small; past the bound the join shuffles.
-
-    The count stops at `max_rows` + 1 rows, so a large side is not scanned to the end to find out.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """A scan whose file holds a single large row group is one task, however much work follows. Rows are dealt out only when
-    the scan has fewer splits than a local machine or small cluster has cores; large tables are never shuffled for it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(2 * cores, 64) else df

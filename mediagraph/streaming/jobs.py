@@ -34,7 +34,7 @@ BATCH_IDS = 1 << 36  # ids set aside for one batch
 
 def read_lines_stream(spark: SparkSession, folder: str, files_per_batch: int = 2) -> DataFrame:
     """(file, block, value) of slot files as they appear. Oldest first; usually the two streams of one slot per batch."""
-    raw = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("latestFirst", "false").load(folder)
+    raw = spark.readStream.format("text").option("lineSep", "\n").option("maxFilesPerTrigger", files_per_batch).option("latestFirst", "false").load(folder)
     return lines.locate_lines(raw)
 
 
@@ -69,7 +69,7 @@ class CollectJob:
         keyed = records.withColumn("url_key", url.canonical_key(F.col("url")))
         outlets = self.outlets()
         known = keyed.join(outlets.select("domain", "outlet_id"), "domain")
-        fresh = load.new_articles(known, self.table("articles", batch_id), small_batch=True)
+        fresh = load.new_articles(known, self.table("articles", batch_id))
         # Ids in order of arrival, within the batch's own range: a replay gives the same article the same id.
         numbered = load.number_rows(fresh, [F.col("arrival"), F.col("url_key")], "_n")
         fresh = numbered.withColumn("article_id", F.lit(batch_id).cast("bigint") * F.lit(BATCH_IDS) + F.col("_n")).drop("_n")
@@ -80,9 +80,9 @@ class CollectJob:
         about = counts.about_text(who, placed, names)
         none = F.array().cast("array<string>")
         kept = F.transform(F.filter(F.slice("names", 1, counts.MAX_NAMES), lambda n: n["count"] >= counts.MIN_MENTIONS), lambda n: n["value"])
-        used = [r["theme"] for r in self.tag_themes().select("theme").distinct().collect()]  # the tag settings: a few hundred names
-        themes = F.map_filter(F.map_from_entries(F.transform("themes", lambda t: F.struct(t["value"], t["count"]))), lambda k, v: k.isin(used))
-        rows = fresh.withColumn("_names", kept).join(about, "article_id", "left").select(
+        used = self.tag_themes().agg(F.collect_set("theme").alias("_used"))  # one row: the tag settings
+        themes = F.map_from_entries(F.filter(F.transform("themes", lambda t: F.struct(t["value"], t["count"])), lambda e: F.array_contains("_used", e["value"])))
+        rows = fresh.withColumn("_names", kept).join(about, "article_id", "left").join(F.broadcast(used)).select(
             "article_id", "url_key", "url", "title", "domain", "outlet_id", "seen", "language", "image_url", F.coalesce("about", none).alias("about"),
             F.col("_names").alias("names"), themes.alias("themes"), "source_url", F.col("names").alias("_all"), F.col("places").alias("_places"))
         sink.write_batch(rows, f"{self.root}/staged", batch_id)

@@ -213,3 +213,11 @@ def test_matched_names(spark):
 def test_search_without_words_finds_nothing(spark):
     docs = spark.createDataFrame([(1, "a b", "c")], "doc_id bigint, title string, about string")
     assert search.rank(docs, "?!").count() == 0
+
+
+def test_search_finds_korean_titles(spark):
+    from mediagraph.operators.search import SearchTerms
+
+    rows = spark.createDataFrame([(1, "한국 경제 뉴스"), (2, "Café du coin")], "doc_id int, title string")
+    found = lambda q: sorted(r.doc_id for r in rows.where(SearchTerms.parse(q).matches(F.col("title"))).collect())
+    assert (found("한국"), found("경제"), found("cafe"), found(" ".join(["cafe"] * 25 + ["absent", "coin"]))) == ([1], [1], [2], [])
