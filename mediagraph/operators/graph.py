@@ -35,7 +35,7 @@ def _steps(edges: DataFrame, up: bool) -> DataFrame:
 def reach(edges: DataFrame, roots: DataFrame, up: bool = True, include_roots: bool = True,
           max_depth: int | None = None) -> DataFrame:
     """(root, node, depth) for everything reachable from each root; depth is the shortest."""
-    steps = _steps(edges, up).distinct()
+    steps = cut(_steps(edges, up).distinct())  # read once per level
     start = roots.select("root").distinct()
     frontier = cut(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
     levels = [frontier]
@@ -67,10 +67,10 @@ def walk(edges: DataFrame, names: DataFrame, roots: DataFrame, up: bool = True)
     named = edges.join(names.select(F.col("entity_id").alias("parent"), F.col("name").alias("_name")), "parent")
     src, dst = ("child", "parent") if up else ("parent", "child")
     nth = F.col("edge_no") if "edge_no" in edges.columns else F.col(dst).cast("bigint")
-    steps = named.select(
+    steps = cut(named.select(
         F.col(src).alias("_at"), F.col(dst).alias("_to"),
         F.struct((F.col("relation") != "owned_by").alias("r"), F.col("_name").alias("n"), nth.alias("e")).alias("_key"),
-    )
+    ))
     start = roots.select("root").distinct()
     key_type = "array<struct<r:boolean,n:string,e:bigint>>"
     frontier = cut(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"),
@@ -244,7 +244,7 @@ def unreachable(entities: DataFrame, edges: DataFrame, outlets: DataFrame) -> Da
 
 def spread_from(edges: DataFrame, seeds: DataFrame, up: bool = True) -> DataFrame:
     """(node, depth): nodes reachable from any seed. Smaller than `reach`: one row per node."""
-    steps = _steps(edges, up).distinct()
+    steps = cut(_steps(edges, up).distinct())  # read once per level
     frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     levels, depth = [frontier], 0
     while True:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediagraph.functions import when
-from mediagraph.operators import feed
+from mediagraph.operators import feed, reports
 from mediagraph.operators.feed import FeedFilters, FeedTables
 from mediagraph.plans.bindings import Tables
 from mediagraph.plans.registry import query
@@ -225,16 +225,8 @@ SELECT e.child FROM b_edges e JOIN below b ON e.parent = b.node AND e.source <>
 SELECT a.tag, count(*) AS n FROM b_articles a JOIN b_outlets o ON o.outlet_id = a.outlet_id
 WHERE o.entity_id IN (SELECT node FROM below) AND a.seen >= TIMESTAMP '2024-01-01 00:00:00' GROUP BY a.tag ORDER BY n DESC, a.tag LIMIT 12""")
 def _(t: Tables) -> DataFrame:
-    return topics(t, 7)
-
-
-def topics(t: Tables, owner: int) -> DataFrame:
-    from mediagraph.operators import graph
-
-    below = graph.reach(graph.current(t.edges), t.entities.where(F.col("entity_id") == owner).select(F.col("entity_id").alias("root")), up=False)
-    own = t.outlets.join(below.select(F.col("node").alias("entity_id")), "entity_id", "left_semi").select("outlet_id")
-    recent = t.articles.where(F.col("seen") >= F.lit(NOW - timedelta(days=30))).join(own, "outlet_id", "left_semi")
-    return recent.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(12)
+    owner = t.entities.where(F.col("entity_id") == 7)
+    return reports.owner_topics(t.edges, owner, t.outlets, t.articles.where(F.col("seen") >= F.lit(NOW - timedelta(days=30))), most=12)
 
 
 @query("place_options", ("b_articles", "b_mentions"), """, n AS (SELECT m.country, count(*) AS stories FROM (SELECT DISTINCT article_id, country FROM b_mentions) m
@@ -243,15 +235,4 @@ SELECT x.country, na.n_name AS name, x.pinned FROM (SELECT country, 1 AS pinned
 UNION ALL SELECT country, 0 FROM n WHERE country NOT IN (3, 7)) x JOIN nation na ON na.n_nationkey = x.country""")
 def _(t: Tables) -> DataFrame:
     places = t.mentions.select("article_id", "country").distinct()
-    return place_options(places, t.articles, t.read("nation").select(F.col("n_nationkey").alias("country"), F.col("n_name").alias("name")), [3, 7], NOW)
-
-
-def place_options(article_places: DataFrame, articles: DataFrame, names: DataFrame, pinned: list, now: datetime) -> DataFrame:
-    """Countries at least three recent stories are about; the pinned ones always, first."""
-    recent = articles.where(F.col("seen") >= F.lit(now - timedelta(days=30))).select("article_id")
-    busy = article_places.join(recent, "article_id", "left_semi").groupBy("country").agg(F.count("*").alias("n")).where(F.col("n") >= 3)
-    always = names.where(F.col("country").isin(pinned)).select("country", "name", F.lit(1).alias("pinned"))
-    rest = busy.where(~F.col("country").isin(pinned)).join(names, "country").select("country", "name", F.lit(0).alias("pinned"))
-    return always.unionByName(rest)
-
-
+    return reports.place_options(places, t.articles, t.read("nation").select(F.col("n_nationkey").alias("country"), F.col("n_name").alias("name")), [3, 7], NOW)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediagraph.functions import ids
-from mediagraph.operators import graph
+from mediagraph.operators import graph, reports
 from mediagraph.plans.bindings import Tables
 from mediagraph.plans.feed_queries import COUNTS, RANKED, article_counts, tables
 from mediagraph.plans.registry import query
@@ -127,29 +127,14 @@ def _(t: Tables) -> DataFrame:
 , kept AS (SELECT outlet_id, count(*) AS n FROM ranked WHERE n <= 3 GROUP BY outlet_id)
 , named AS (SELECT CASE WHEN o.entity_id IS NULL THEN 'unmatched' ELSE coalesce(g.owners, '') END AS owners, o.display_name, k.n
   FROM kept k JOIN b_outlets o ON o.outlet_id = k.outlet_id LEFT JOIN grp g ON g.base = o.entity_id)
-SELECT owners, CAST(sum(n) AS BIGINT) AS articles, string_agg(display_name || ':' || n, ', ' ORDER BY n DESC, lower(display_name)) AS outlets FROM named GROUP BY owners""")
+SELECT owners, CAST(sum(n) OVER (PARTITION BY owners) AS BIGINT) AS articles, display_name AS outlet, n AS own FROM named""")
 def _(t: Tables) -> DataFrame:
     from mediagraph.operators import feed
 
     counts = feed.counts_per_outlet(feed.matching(tables(t), feed.FeedFilters()))
-    shares = coverage_by_owner(t.edges, t.entities, t.outlets, counts)
+    shares = reports.coverage_by_owner(t.edges, t.entities, t.outlets, counts)
     owners = F.when(F.col("matched"), F.array_join(F.transform("owners", lambda o: o["name"]), "; ")).otherwise("unmatched")
-    outlets = F.array_join(F.transform("outlets", lambda o: F.concat(o["display_name"], F.lit(":"), o["articles"].cast("string"))), ", ")
-    return shares.select(owners.alias("owners"), "articles", outlets.alias("outlets"))
-
-
-def coverage_by_owner(edges: DataFrame, entities: DataFrame, outlets: DataFrame, counts: DataFrame) -> DataFrame:
-    """Article counts grouped by owner group: (owners, matched, articles, outlets, place). Outlets without an entity
-    are one group, matched outlets without an owner another; groups with owners come first."""
-    groups = graph.owner_groups(edges, entities, outlets.where(F.col("entity_id").isNotNull()).select(F.col("entity_id").alias("base")))
-    rows = counts.join(outlets, "outlet_id").join(groups.withColumnRenamed("base", "entity_id"), "entity_id", "left")
-    rows = rows.withColumn("matched", F.col("entity_id").isNotNull())
-    packed = rows.groupBy("owners", "matched").agg(
-        F.sum("articles").alias("articles"),
-        F.array_sort(F.collect_list(F.struct((-F.col("articles")).alias("k"), F.lower("display_name").alias("l"), "display_name", "articles"))).alias("outlets"))
-    # One row per owner group.
-    w = Window.orderBy(F.coalesce(F.size("owners"), F.lit(0)) <= 0, F.desc("articles"), F.get(F.col("owners"), F.lit(0))["key"])
-    return packed.withColumn("place", F.row_number().over(w))
+    return shares.select(owners.alias("owners"), F.col("group_articles").alias("articles"), F.col("display_name").alias("outlet"), F.col("articles").alias("own"))
 
 
 @query("ownership_summary_lines", GRAPH, FIRST + CLIMB + """, dirs AS (SELECT o.outlet_id, f.* , row_number() OVER (PARTITION BY o.outlet_id, f.parent ORDER BY f.r, f.name) AS again
@@ -240,39 +225,20 @@ WHERE a.seen >= TIMESTAMP '2024-01-08 00:00:00'""")
 def _(t: Tables) -> DataFrame:
     named = t.mentions.groupBy("article_id", "entity_id").agg(F.count("*").alias("mentions"))
     recent = t.articles.where(F.col("seen") >= F.lit("2024-01-08 00:00:00").cast("timestamp"))
-    rows = owner_mentions(recent, t.outlets, named, t.edges, t.entities)
+    rows = reports.owner_mentions(recent, t.outlets, named, t.edges, t.entities)
     return rows.select("article_id", "entity_id", "mentions", text("path").alias("path"))
 
 
-def owner_mentions(articles: DataFrame, outlets: DataFrame, named: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """Articles naming something above their own outlet, with the shortest chain from it down to the outlet."""
-    roots = outlets.where(F.col("entity_id").isNotNull()).select("outlet_id", F.col("entity_id").alias("root"))
-    above = graph.walk(graph.current(edges), entities, roots.select("root")).where("depth > 0")
-    chains = above.select("root", F.col("node").alias("entity_id"), F.reverse("path").alias("path"))
-    return articles.join(roots, "outlet_id").join(named, "article_id").join(chains, ["root", "entity_id"])
-
-
 @query("ownership_report_flags", GRAPH, """SELECT o.outlet_id, CASE WHEN o.entity_id IS NULL THEN 'no item' WHEN NOT EXISTS (SELECT 1 FROM b_edges e WHERE e.child = o.entity_id AND e.source <> 'set_aside')
 THEN 'no owner listed' ELSE '' END || CASE WHEN position('5' IN en.name) > 0 THEN ';website item' ELSE '' END AS flags
 FROM b_outlets o LEFT JOIN b_entities en ON en.entity_id = o.entity_id WHERE o.active AND o.entity_id IS NOT NULL
 UNION ALL SELECT outlet_id, 'no item' FROM b_outlets WHERE active AND entity_id IS NULL""")
 def _(t: Tables) -> DataFrame:
     # The names here hold no dots, so '5' plays the part of the dot in a website's name.
-    rows = report_flags(t.outlets.where("active"), t.entities.withColumn("description", F.lit("")), t.edges, site_mark="5")
+    rows = reports.report_flags(t.outlets.where("active"), t.entities.withColumn("description", F.lit("")), t.edges, site_mark="5")
     return rows.select("outlet_id", "flags")
 
 
-def report_flags(outlets: DataFrame, entities: DataFrame, edges: DataFrame, site_mark: str = ".") -> DataFrame:
-    """Per outlet, what is worth checking: no item, no owner, or an item that is the website rather than the outlet."""
-    owned = graph.current(edges).select(F.col("child").alias("entity_id"), F.lit(True).alias("_owned")).distinct()
-    rows = outlets.join(entities.select("entity_id", "name", "description"), "entity_id", "left").join(owned, "entity_id", "left")
-    about = F.lower(F.coalesce("description", F.lit("")))
-    site = F.col("name").contains(site_mark) | about.contains("website of") | about.contains("web portal")
-    first = F.when(F.col("name").isNull(), "no item").when(F.col("_owned").isNull(), "no owner listed").otherwise("")
-    flags = F.concat(first, F.when(F.coalesce(site, F.lit(False)), ";website item").otherwise(""))
-    return rows.withColumn("flags", flags).withColumn("flagged", flags != "")
-
-
 @query("entity_owner_types", ("b_entities",), """SELECT entity_id, CASE entity_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN CASE WHEN kind = 'public company' THEN kind ELSE 'Trust fund' END
 WHEN 2 THEN 'Crown Corporation' ELSE CASE WHEN kind = 'public company' THEN kind ELSE 'broadcaster' END END AS owner_type FROM b_entities""")
 def _(t: Tables) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mediagraph.functions import fixed
 from mediagraph.functions import text as tx
-from mediagraph.operators import load, stories
+from mediagraph.operators import reports, stories
 from mediagraph.plans.bindings import Tables
 from mediagraph.plans.registry import query
 from mediagraph.plans.text_queries import NORMAL, WORDS
@@ -132,11 +132,4 @@ def _(t: Tables) -> DataFrame:
 @query("story_pages", ("b_articles", "b_outlets"), STORIES + """ SELECT story_id, article_id, display_name, shown, row_number() OVER (PARTITION BY story_id ORDER BY shown, article_id) AS place,
 count(*) OVER (PARTITION BY story_id, outlet_id) AS from_outlet FROM mem""")
 def _(t: Tables) -> DataFrame:
-    return story_pages(assigned(t), t.articles, t.outlets).select("story_id", "article_id", "display_name", "shown", "place", "from_outlet")
-
-
-def story_pages(linked: DataFrame, articles: DataFrame, outlets: DataFrame) -> DataFrame:
-    """Every story's members in shown order, with how many articles their outlet has in it."""
-    rows = linked.join(articles.withColumn("shown", F.coalesce("stated", "seen")), "article_id").join(outlets.select("outlet_id", "display_name"), "outlet_id")
-    per_outlet = rows.groupBy("story_id", "outlet_id").agg(F.count("*").alias("from_outlet"))
-    return load.rank_in_group(rows, "story_id", "shown", "article_id", "place").join(per_outlet, ["story_id", "outlet_id"])
+    return reports.story_pages(assigned(t), t.articles, t.outlets).select("story_id", "article_id", "display_name", "shown", "place", "from_outlet")

@@ -1,12 +1,12 @@
-"""Session helpers: UTC sessions, lineage cuts in the shared checkpoint folder, and size-checked broadcasts."""
+"""Session helpers: UTC sessions, and lineage cuts in the shared checkpoint folder."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -20,6 +20,7 @@ def build_session(app: str = "mediagraph", cores: str = "*", partitions: int = 8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config(CHECKPOINT_KEY, local_folder())
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -34,8 +35,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def local_folder() -> str:
+    """Where a session on one machine keeps its written tables, if it names no other place."""
+    return f"file://{tempfile.gettempdir()}/mediagraph"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names. Only a local session may fall back to a folder of its own."""
+    """The shared folder the cluster names. Only a local session may do without."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -44,9 +50,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not sc.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="mediagraph-checkpoint-")
+        named = local_folder()
     sc.setCheckpointDir(named)
-    return named
+    return sc.getCheckpointDir()
+
+
+def cut_folder(spark: SparkSession) -> str:
+    """This application's part of the checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/cut-{spark.sparkContext.applicationId}"
+
+
+def discard_cuts(spark: SparkSession) -> None:
+    """Delete the tables that `cut` wrote. Call it when results are written; local sessions do it when Python ends."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(cut_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_discarding: set[str] = set()
+
+
+def _discard_at_exit(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") and sc.applicationId not in _discarding:
+        _discarding.add(sc.applicationId)
+
+        def discard() -> None:
+            import shutil
+
+            shutil.rmtree(folder, ignore_errors=True)
+
+        folder = cut_folder(spark).removeprefix("file:").replace("///", "/")
+        atexit.register(discard)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,8 +90,9 @@ def cut(df: DataFrame) -> DataFrame:
     Used once per round of an iterative job: the plan stays short, a lost executor costs one round at most, and the
     next round's joins are planned from the table's real size.
     """
-    folder = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    folder = f"{cut_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
+    _discard_at_exit(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
