@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mediagraph.functions import url
 from mediagraph.operators import counts, dates, load, mentions, stories, tagging
+from mediagraph.session import cut
 from mediagraph.sources import lines, pages, sink
 
 ARTICLES = """article_id bigint, url_key string, url string, title string, domain string, outlet_id bigint, seen timestamp, language string,
@@ -25,6 +26,8 @@ image_url string, about array<string>, names array<string>, themes map<string,bi
 TAGS = "article_id bigint, slug string, evidence string"
 PLACES = "article_id bigint, country string, mentions bigint"
 MENTIONS = "article_id bigint, qid string, mentions bigint"
+SECTIONS = "article_id bigint, pos int, label string"
+UNREADABLE = "file string, error string"
 STORIES = "article_id bigint, story_id bigint, linked_to bigint, shared array<string>"
 DATES = "article_id bigint, at timestamp, method string, conflict boolean, checked timestamp"
 
@@ -38,6 +41,12 @@ def read_lines_stream(spark: SparkSession, folder: str, files_per_batch: int = 2
     return lines.locate_lines(raw)
 
 
+def read_zips_stream(spark: SparkSession, folder: str, files_per_batch: int = 2) -> DataFrame:
+    """(file, arrival, value, error) of zipped slot files as they appear."""
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    return lines.zip_rows(raw.option("pathGlobFilter", "*.zip").option("maxFilesPerTrigger", files_per_batch).load(folder))
+
+
 @dataclass
 class CollectJob:
     """What a micro-batch is joined with, and where its results go. Dimensions are functions, so that each batch sees their
@@ -53,7 +62,7 @@ class CollectJob:
     pages: Callable[[DataFrame], DataFrame] | None = None  # new articles -> (article_id, html) that were read
     link: bool = True
     schemas: dict[str, str] = field(default_factory=lambda: {
-        "articles": ARTICLES, "tags": TAGS, "places": PLACES, "mentions": MENTIONS, "stories": STORIES, "dates": DATES})
+        "articles": ARTICLES, "tags": TAGS, "places": PLACES, "mentions": MENTIONS, "stories": STORIES, "dates": DATES, "sections": SECTIONS, "unreadable": UNREADABLE})
 
     def table(self, name: str, before: int | None = None) -> DataFrame:
         """A result table; with `before`, only batches earlier than it (what a replay may look at)."""
@@ -61,6 +70,10 @@ class CollectJob:
         return df if before is None else df.where(F.col("batch") < before)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if "error" in batch.columns:
+            unzipped = cut(batch)  # each archive is opened once
+            sink.write_batch(unzipped.where("error is not null").select("file", "error"), f"{self.root}/unreadable", batch_id)
+            batch = lines.good_files(unzipped)
         numbered = batch if "arrival" in batch.columns else lines.number_lines(batch)
         self.store(lines.parse_lines(numbered, self.outlets()), batch_id)
 
@@ -118,17 +131,23 @@ class CollectJob:
         sink.write_batch(linked, f"{self.root}/stories", batch_id)
 
     def date(self, staged: DataFrame, batch_id: int) -> None:
-        """The date pass over the pages read for this batch, in the same trigger."""
-        got = self.pages(staged.select("article_id", "url", "seen"))
-        cands = dates.candidates(pages.scan_pages(got.select("article_id", "html")), ["article_id"])
+        """The date pass over the pages read for this batch, in the same trigger. The pages' own section labels tag their articles."""
+        got = cut(self.pages(staged.select("article_id", "url", "seen")))
+        scanned = cut(pages.scan_pages(got.select("article_id", "html")))
+        labels = cut(dates.section_labels(scanned).select("article_id", F.posexplode("sections").alias("pos", "label")))
+        sink.write_batch(labels, f"{self.root}/sections", batch_id)
+        by_theme = tagging.tags_by_theme(staged.select("article_id", F.explode("themes").alias("theme", "n")), self.tag_themes())
+        by_section = tagging.tags_by_section(labels, self.tag_sections())
+        sink.write_batch(tagging.combine(by_theme, by_section, tagging.sections_only(self.tag_sections(), self.tag_themes())), f"{self.root}/tags", batch_id)
+        cands = dates.candidates(scanned, ["article_id"])
         chosen = dates.choose(cands, staged.select("article_id", "seen"), key="article_id")
         rows = got.select("article_id").join(chosen, "article_id", "left").withColumn("checked", F.current_timestamp())
         sink.write_batch(rows.select("article_id", "at", "method", "conflict", "checked"), f"{self.root}/dates", batch_id)
 
 
-def collect(spark: SparkSession, folder: str, job: CollectJob, checkpoint: str, files_per_batch: int = 2) -> StreamingQuery:
-    """Read what has arrived since the last run and stop (run again to resume)."""
-    stream = read_lines_stream(spark, folder, files_per_batch)
+def collect(spark: SparkSession, folder: str, job: CollectJob, checkpoint: str, files_per_batch: int = 2, zipped: bool = False) -> StreamingQuery:
+    """Read what has arrived since the last run and stop (run again to resume). `zipped`: the slot files as they are published."""
+    stream = (read_zips_stream if zipped else read_lines_stream)(spark, folder, files_per_batch)
     return stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from mediagraph.plans import catalog
 from tools.check import TABLES, frame
 
 FOLDER = Path("/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
 
 
@@ -35,7 +36,8 @@ def test_query(spark, con, name):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 100
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries()) and len(QUERIES) > 100
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):

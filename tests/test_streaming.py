@@ -126,3 +126,29 @@ def test_hold_then_release(spark, tmp_path):
     _, got = drain(jobs.hold_release(stream_of(spark, tmp_path / "h", batches, "article_id bigint, kind string, at timestamp")))
     rows = {r.article_id: (r.released_at, r.reason) for r in got.collect()}
     assert rows == {3: (m(4), "checked"), 1: (m(5), "checked"), 2: (m(15), "held long enough"), 9: (m(45), "held long enough")}
+
+
+def test_collect_reads_zips_and_tags_by_section(spark, job, tmp_path):
+    import zipfile
+
+    source = tmp_path / "zips"
+    source.mkdir()
+
+    def pack(at, rows, stream=""):
+        with zipfile.ZipFile(source / f"{at}{stream}.gkg.csv.zip", "w") as z:
+            z.writestr(f"{at}{stream}.gkg.csv", "\n".join(rows) + "\n")
+
+    themes, sections = tagging.tag_dimensions(spark, [{"slug": "tax", "themes": ["TAX"]}, {"slug": "labour", "sections": ["Éducation"]}])
+    job.tag_themes, job.tag_sections = lambda: themes, lambda: sections
+    html = '<meta property="article:section" content="Education"><meta property="article:published_time" content="2026-09-23T09:30:00Z">'
+    job.pages = lambda new: new.where(F.col("url").contains("alpha.ca/2")).select("article_id", F.lit(html).alias("html"))
+    pack("20260923100000", [A1])
+    pack("20260923101500", [B1])
+    pack("20260923101500", [C1], ".translation")
+    (source / "20260923103000.gkg.csv.zip").write_bytes(b"not a zip")
+    jobs.collect(spark, str(source), job, str(tmp_path / "checkpoint"), files_per_batch=4, zipped=True).awaitTermination()
+    got = {r.url: r.article_id for r in job.table("articles").collect()}
+    assert set(got) == {"https://alpha.ca/1?utm_source=x", "https://beta.ca/9", "https://alpha.ca/2"}
+    assert {(r.article_id, r.slug) for r in job.table("tags").collect()} == {(got["https://alpha.ca/1?utm_source=x"], "tax"), (got["https://alpha.ca/2"], "labour")}
+    assert [r.label for r in job.table("sections").collect()] == ["Education"]
+    assert [r.file for r in job.table("unreadable").collect()] == ["20260923103000.gkg.csv.zip"]
