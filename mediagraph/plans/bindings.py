@@ -13,7 +13,7 @@ SQL = {
     "b_outlets": """SELECT s_suppkey AS outlet_id, concat('s', CAST(s_suppkey AS STRING), '.example.com') AS domain,
   s_name AS display_name, s_nationkey AS country, s_suppkey % 10 <> 9 AS active,
   CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE 100 + s_suppkey * 3 END AS entity_id FROM supplier""",
-    "b_articles": """SELECT event_id AS article_id, user_id % (SELECT count(*) FROM supplier) AS outlet_id, event_type AS tag, ts AS seen,
+    "b_articles": """SELECT event_id AS article_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % (SELECT count(*) FROM supplier) END AS outlet_id, event_type AS tag, ts AS seen,
   CASE event_id % 5 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL '5' MINUTE WHEN 2 THEN ts - INTERVAL '240' MINUTE ELSE NULL END AS stated,
   ts + INTERVAL '2' MINUTE AS retrieved,
   CASE WHEN event_id % 3 <> 0 THEN ts + INTERVAL '7' MINUTE ELSE NULL END AS checked FROM events""",
@@ -69,10 +69,10 @@ class Tables:
     @property
     def articles(self) -> DataFrame:
         ts, n = F.col("ts").cast("timestamp"), F.col("event_id")
-        outlets = self.read("supplier").agg(F.count("*")).scalar()
+        user, outlets = F.col("user_id"), self.read("supplier").agg(F.count("*")).scalar()  # a third of the articles are one outlet's
         mins = lambda m: F.expr(f"INTERVAL '{m}' MINUTE")
         return self.read("events").select(
-            n.alias("article_id"), (F.col("user_id") % outlets).alias("outlet_id"), F.col("event_type").alias("tag"), ts.alias("seen"),
+            n.alias("article_id"), F.when(user % 3 == 0, 0).otherwise(user % outlets).alias("outlet_id"), F.col("event_type").alias("tag"), ts.alias("seen"),
             F.when(n % 5 == 0, ts).when(n % 5 == 1, ts - mins(5)).when(n % 5 == 2, ts - mins(240)).alias("stated"),
             (ts + mins(2)).alias("retrieved"), F.when(n % 3 != 0, ts + mins(7)).alias("checked"))
 
