@@ -357,8 +357,11 @@ def learn(pages: list[list[Block]], steps: int = 420, batch: int = 16, rate: flo
 
 def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE_PAGES) -> dict[str, np.ndarray] | None:
     """Learn from at most `sample` pages, those with the smallest text hashes among pages of ordinary length."""
-    rows = pages.select(F.col(html).alias("html")).where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS))
-    texts = [r["html"] for r in rows.orderBy(F.xxhash64("html"), "html").limit(sample).collect()]  # bounded
+    rows = pages.select(F.col(html).alias("html")).where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS)).withColumn("mark", F.xxhash64("html"))
+    marks = rows.select("mark").distinct().orderBy("mark").limit(sample)  # short rows: whole pages are not sorted
+    last = marks.agg(F.max("mark").alias("last")).first()["last"]
+    picked = rows.where(F.col("mark") <= F.lit(last)).groupBy("mark").agg(F.min("html").alias("html"))
+    texts = [r["html"] for r in picked.orderBy("mark").collect()] if last is not None else []  # bounded
     return learn([b for t in texts if len(b := blocks_of(t)) <= SAMPLE_BLOCKS])
 
 
