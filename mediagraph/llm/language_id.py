@@ -33,9 +33,9 @@ RESULT_TYPE = "struct<lang_pred: string, score: double, cross_entropy: double, r
 
 def letter_tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: is it a letter, and its lower case (itself where that is more than one character)."""
-    chars = [chr(i) for i in range(0x110000)]
-    low = [c.lower() for c in chars]
-    return np.array([c.isalpha() for c in chars]), np.array([ord(x) if len(x) == 1 else i for i, x in enumerate(low)], np.uint32)
+    size = 0x110000
+    lower = (ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(size))
+    return np.fromiter((chr(i).isalpha() for i in range(size)), bool, size), np.fromiter(lower, np.uint32, size)
 
 
 def chain(before: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -312,6 +312,7 @@ def with_language(docs: DataFrame, models: Models, text: str = "text", keep: lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], answers(Models(**shipped.value), batch.columns[-1])], [*keep, name])
+            for part in words.slices(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], answers(Models(**shipped.value), part.columns[-1])], [*keep, name])
 
     return given.mapInArrow(run, given.drop(f"{name}_text").schema.add(name, DataType.fromDDL(RESULT_TYPE)))

@@ -107,7 +107,8 @@ def with_stats(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], stats_array(batch.columns[-1])], [*keep, name])
+            for part in words.slices(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], stats_array(part.columns[-1])], [*keep, name])
 
     schema = given.drop(f"{name}_text").schema.add(name, DataType.fromDDL(STATS_TYPE))
     return given.mapInArrow(run, schema)

@@ -73,7 +73,7 @@ def in_worker(key: str, make):
     return kept[key]
 
 
-def pieces(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `most` bytes (or one row), so that scratch arrays stay small however large a batch is."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -82,6 +82,13 @@ def pieces(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]
         i = j
 
 
+def slices(batch: pa.RecordBatch, column: int = -1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most `most` bytes of text, so that what is handed back is small as well."""
+    _, offsets = text_buffer(batch.columns[column])
+    for i, j in pieces(offsets, most):
+        yield batch.slice(i, j - i)
+
+
 def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the n + 1 offsets of each row's words among them."""
     return spans(~IS_SPACE[buf], offsets)
