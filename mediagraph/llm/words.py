@@ -6,6 +6,8 @@ vertical tab, form feed and carriage return, which in UTF-8 is the same as runs
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -73,6 +75,12 @@ def in_worker(key: str, make):
     return kept[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker waits beside the JVM between tasks."""
+    with contextlib.suppress(OSError, AttributeError):  # the C library may not offer it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `most` bytes (or one row), so that scratch arrays stay small however large a batch is."""
     i, n = 0, len(offsets) - 1
@@ -80,6 +88,8 @@ def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
         yield i, j
         i = j
+    if n and offsets[-1] > most:
+        give_back()
 
 
 def slices(batch: pa.RecordBatch, column: int = -1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
