@@ -4,7 +4,8 @@ Names such as `cheappills` are split into words by a unigram Viterbi pass; a mul
 and path. Both models come from the URLs themselves: the words and their counts from names that are written apart (by dots, hyphens,
 digits), the two classes from hosts that do or don't contain one of a few seed words, each distinct host and word counting once, so
 that one busy host doesn't outvote the rest. Seed words only label; what decides is every word that goes with them. Counts cover all
-rows. The vocabulary is bounded (its most frequent words), so the model that is sent to the tasks is as well.
+rows and all words. Vocabulary, splits and weights are tables of any size: each run of letters meets the words that stand in it by a join,
+each (host, path) the weights of its words by another, and the rows their scores by a third.
 
 Defined cases: a null url or one without `://` has an empty host and path, meets no rule and is allowed; words that neither class has seen
 say nothing; a tie is allowed; with no labelled host everything that no rule blocks is allowed; rows are judged one by one, so repeated
@@ -21,15 +22,15 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from mediagraph.llm import words
+from mediagraph.llm.wanted import split
 from mediagraph.session import cut
 
 #: Words that mark a host as unwanted when it is used for learning.
 SEEDS = ("adult", "ads", "bet", "bets", "casino", "gambling", "lottery", "pills", "poker", "porn", "sex", "spam", "viagra", "xxx")
-#: Words kept of the vocabulary, and the longest word that is looked for.
-VOCABULARY, LONGEST = 50_000, 24
+#: The longest word that is looked for, and the keys of a join that are broadcast (which changes no result).
+LONGEST, HEAD = 24, 1_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -81,72 +82,146 @@ def segments(name: str, costs: dict[str, float], unknown: float) -> list[str]:
     return out[::-1]
 
 
-def without_joined(counts: dict[str, int], least: int = 3) -> dict[str, int]:
-    """The vocabulary without names that are two or more words of it run together, each of them found in more hosts."""
-
-    def joined(name: str) -> bool:
-        reached = [True] + [False] * len(name)
-        for end in range(least, len(name) + 1):
-            reached[end] = any(reached[start] and counts.get(name[start:end], 0) > counts[name] for start in range(max(0, end - LONGEST), end - least + 1) if end - start < len(name))
-        return reached[-1]
-
-    return {w: n for w, n in counts.items() if len(w) < 2 * least or not joined(w)}
+def is_joined(name: str, counts: dict[str, int], least: int = 3) -> bool:
+    """Is a name of the vocabulary two or more words of it run together, each of them found in more hosts? `counts` has its parts that are words."""
+    if len(name) < 2 * least:
+        return False
+    reached = [True] + [False] * len(name)
+    for end in range(least, len(name) + 1):
+        reached[end] = any(reached[start] and counts.get(name[start:end], 0) > counts[name] for start in range(max(0, end - LONGEST), end - least + 1) if end - start < len(name))
+    return reached[-1]
 
 
 @dataclass
 class UrlModel:
-    costs: dict[str, float]
-    unknown: float
-    weights: dict[str, float]
+    """The vocabulary (word, n) and the sum of its counts, the splits (run, words) of the names it was learned from, weights (word, weight), prior."""
+
+    vocabulary: DataFrame
+    total: int
+    splits: DataFrame
+    weights: DataFrame
     prior: float
 
-    def split(self, text: str) -> list[str]:
-        return [w for run in WORD.findall(text.lower()) for w in segments(run, self.costs, self.unknown)]
 
-    def score(self, host: str, path: str) -> float:
-        """Log odds of being unwanted. Without a word that tells, the prior alone."""
-        weights = self.weights
-        return self.prior + sum(weights.get(w, 0.0) for w in {*self.split(host), *self.split(path)})
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """`rows` joined with a table of one row a key. The keys that most rows have are joined by broadcast, so that none of them fills a task."""
+    hot = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), *keys).limit(HEAD).select(*keys))
+    told = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
+    head = cut(table.join(F.broadcast(hot), keys, "left_semi"))
+    often = told.where("__hot").drop("__hot").join(F.broadcast(head), keys, how)
+    return often.unionByName(told.where("__hot is null").drop("__hot").join(table, keys, how))
+
+
+def host_runs(rows: DataFrame) -> DataFrame:
+    """(host, run, own): the runs of letters of each host and its paths; own: it stands in the host's name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {}
+            for host, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found |= {(host, w): found.get((host, w), False) for w in WORD.findall(path.lower())}
+                found |= {(host, w): True for w in WORD.findall(host.lower())}
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(found.values(), pa.bool_())], ["host", "run", "own"])
+
+    return rows.mapInArrow(run, "host string, run string, own boolean").groupBy("host", "run").agg(F.max("own").alias("own"))
+
+
+def url_runs(rows: DataFrame) -> DataFrame:
+    """(host, path, run): the different runs of letters of each host and path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(h, p, w) for h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in sorted({*WORD.findall(h.lower()), *WORD.findall(p.lower())})]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in range(3)], ["host", "path", "run"])
+
+    return rows.mapInArrow(run, "host string, path string, run string")
+
+
+def parts(names: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(run, word, n): the words of the vocabulary that stand anywhere in each run of letters, or are the run."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, words = [], []
+            for name in batch.column(0).to_pylist():
+                found = sorted({name, *(name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1))})
+                names += [name] * len(found)
+                words += found
+                if len(names) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.string())], ["run", "word"])
+                    names, words = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.string())], ["run", "word"])
+
+    some, _ = split(names.mapInArrow(run, "run string, word string"), "word", vocabulary.select("word"))
+    return cut(looked_up(cut(some), vocabulary, ["word"]))
+
+
+def by_run(found: DataFrame) -> DataFrame:
+    return found.groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("parts"))
 
-def spoken(rows: DataFrame, make, name: str) -> DataFrame:
-    """(host, word) pairs that `make` finds in (host, path), once per batch."""
+
+def split_names(names: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """(run, words): the cheapest split of each run of letters. It depends on its parts alone, so no task holds the vocabulary."""
+    unknown = math.log(total) + 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = sorted({(h, w) for h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in make(h, p)})
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], ["host", name])
+            told = []
+            for name, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                told.append(segments(name, {x["word"]: -math.log(x["n"] / total) for x in own or [] if len(x["word"]) <= LONGEST}, unknown))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.list_(pa.string()))], ["run", "words"])
 
-    return rows.mapInArrow(run, f"host string, {name} string").distinct()
+    return cut(names.join(by_run(found), "run", "left").select("run", "parts").mapInArrow(run, "run string, words array<string>"))
 
 
-def fit(urls: DataFrame, seeds: tuple[str, ...] = SEEDS, vocabulary: int = VOCABULARY, least_hosts: int = 1, smoothing: float = 0.5) -> UrlModel:
+def fit(urls: DataFrame, seeds: tuple[str, ...] = SEEDS, least_hosts: int = 1, smoothing: float = 0.5) -> UrlModel:
     """Learn from (host, path) of all rows."""
+    spark = urls.sparkSession
     rows = cut(urls.where("host <> ''").select("host", "path").distinct())
-    apart = spoken(rows, lambda host, path: WORD.findall(f"{host} {path}".lower()), "word")
-    known = apart.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_hosts).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    counts = {r["word"]: r["n"] for r in known}
-    for seed in seeds:
-        counts[seed] = counts.get(seed, 0) + 1
-    counts = without_joined(counts)
-    total = sum(counts.values()) + 1
-    costs = {w: -math.log(n / total) for w, n in counts.items() if len(w) <= LONGEST}
-    model = UrlModel(costs, math.log(total) + 1.0, {}, 0.0)
-    marks = set(seeds)
-    found = cut(spoken(rows, lambda host, path: {*model.split(host), *model.split(path)}, "word"))
-    hosts = rows.select("host").distinct()
+    named = cut(host_runs(rows))
+    seeded = spark.createDataFrame([(s, 1) for s in seeds], "word string, n bigint")
+    counted = named.groupBy(F.col("run").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    known = cut(counted.where(F.col("n") >= least_hosts).unionByName(seeded).groupBy("word").agg(F.sum("n").alias("n")))
+    names = named.select("run").distinct()
+    found = parts(names.union(seeded.select("word")).distinct(), known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [{x["word"]: x["n"] for x in own} for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, own in zip(batch.column(0).to_pylist(), told, strict=True) if w in own and is_joined(w, own)], pa.string())], ["word"])
+
+    joined = cut(by_run(found).mapInArrow(run, "word string"))
+    vocabulary = cut(known.join(joined, "word", "left_anti"))
+    total = (vocabulary.agg(F.sum("n")).first()[0] or 0) + 1
+    splits = split_names(names, looked_up(found.drop("n"), vocabulary, ["word"]), total)
+
+    spoken = cut(looked_up(named, splits, ["run"]).select("host", "own", F.explode("words").alias("word")).groupBy("host", "word").agg(F.max("own").alias("own")))
     # only a host's own name can mark it, not its paths
-    marked = spoken(hosts.withColumn("path", F.lit("")), lambda host, path: [w for w in model.split(host) if w in marks], "word")
-    flagged = marked.select("host").distinct().withColumn("bad", F.lit(True))
+    flagged = cut(spoken.where(F.col("own") & F.col("word").isin(*seeds)).select("host").distinct().withColumn("bad", F.lit(True)))
+    hosts = rows.select("host").distinct()
     totals = {bool(r["bad"]): r["n"] for r in hosts.join(flagged, "host", "left").groupBy(F.coalesce("bad", F.lit(False)).alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(True) or not totals.get(False):
-        return model
-    sums = found.join(flagged, "host", "left").groupBy("word").agg(F.count_if("bad").alias("bad"), F.count(F.lit(1)).alias("all"))
-    told = sums.orderBy(F.desc("all"), "word").limit(vocabulary).collect()
-    bad, good = sum(r["bad"] for r in told), sum(r["all"] - r["bad"] for r in told)
-    size = len(told)
-    weights = {r["word"]: math.log((r["bad"] + smoothing) / (bad + smoothing * size)) - math.log((r["all"] - r["bad"] + smoothing) / (good + smoothing * size)) for r in told}
-    return UrlModel(costs, model.unknown, weights, math.log(totals[True] / totals[False]))
+        return UrlModel(vocabulary, total, splits, spark.createDataFrame([], "word string, weight double"), 0.0)
+    sums = cut(spoken.join(flagged, "host", "left").groupBy("word").agg(F.count_if("bad").alias("bad"), F.count(F.lit(1)).alias("all")))
+    bad, every, size = sums.agg(F.sum("bad"), F.sum("all"), F.count(F.lit(1))).first()
+    good = every - bad
+    weight = F.log((F.col("bad") + smoothing) / (bad + smoothing * size)) - F.log((F.col("all") - F.col("bad") + smoothing) / (good + smoothing * size))
+    return UrlModel(vocabulary, total, splits, cut(sums.select("word", weight.alias("weight"))), math.log(totals[True] / totals[False]))
+
+
+def scored(rows: DataFrame, model: UrlModel) -> DataFrame:
+    """(host, path, score) of different (host, path): log odds of being unwanted. Without a word that tells, the prior alone."""
+    rows = cut(rows)
+    asked = cut(url_runs(rows))
+    new = cut(asked.select("run").distinct().join(model.splits.select("run"), "run", "left_anti"))
+    splits = model.splits.unionByName(split_names(new, parts(new, model.vocabulary), model.total))
+    words_of = cut(splits.select("run", F.explode(F.array_distinct("words")).alias("word")))
+    telling = cut(looked_up(words_of, model.weights, ["word"]).groupBy("run").agg(F.collect_list(F.struct("word", "weight")).alias("telling")))
+    found = looked_up(asked, telling, ["run"]).groupBy("host", "path").agg(F.array_distinct(F.flatten(F.collect_list("telling"))).alias("telling"))
+    # added up in one order, whatever the tasks
+    sums = F.aggregate(F.array_sort(F.transform("telling", lambda x: x["weight"])), F.lit(0.0), lambda a, b: a + b)
+    sums = found.select("host", "path", (F.lit(model.prior) + sums).alias("score"))
+    return cut(rows.join(sums, ["host", "path"], "left").select("host", "path", F.coalesce("score", F.lit(model.prior)).alias("score")))
 
 
 def judged(rows: DataFrame, rules: list[UrlRule], url: str = "url", keep: list[str] | None = None, model: UrlModel | None = None) -> DataFrame:
@@ -162,16 +237,10 @@ def judged(rows: DataFrame, rules: list[UrlRule], url: str = "url", keep: list[s
     rule, allow = rule_columns(F.col(host_name), F.col(path_name), rules)
     ruled_name = words.free_name([*keep, *names], "ruled")
     told = told.withColumn(rule_name, rule).withColumn(ruled_name, allow)
-    shipped = rows.sparkSession.sparkContext.broadcast(vars(model))  # bounded by the vocabulary
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = UrlModel(**shipped.value)
-        for batch in batches:
-            at = batch.num_columns
-            scores = [own.score(h, p) if r is None and h else None for h, p, r in zip(*(batch.column(at - k).to_pylist() for k in (4, 3, 2)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_name])
-
-    scored = told.mapInArrow(run, told.select("*").schema.add(score_name, DoubleType()))
+    open_ = told.where(F.col(rule_name).isNull() & (F.col(host_name) != ""))
+    scores = scored(open_.select(F.col(host_name).alias("host"), F.col(path_name).alias("path")).distinct(), model)
+    scores = scores.select(F.col("host").alias(host_name), F.col("path").alias(path_name), F.col("score").alias(score_name))
+    told = looked_up(told, scores, [host_name, path_name], "left")
     verdict = F.when(F.coalesce(F.col(ruled_name), F.coalesce(F.col(score_name) <= 0, F.lit(True))), F.lit("allow")).otherwise(F.lit("block"))
-    return scored.withColumn(verdict_name, verdict).select(*[f"`{c}`" for c in keep], *names)
+    return told.withColumn(verdict_name, verdict).select(*[f"`{c}`" for c in keep], *names)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 
 import pytest
@@ -74,6 +75,16 @@ def test_segmented_names_are_scored(spark):
     assert all(got[u] == "allow" for u in good) and all(got[u] == "block" for u in bad)
 
 
+def test_words_past_the_most_frequent_tell(spark):
+    letters = "bcdfghjklm"
+    common = ["".join(w) for w in itertools.islice(itertools.product(letters, repeat=5), 50_100)]
+    good = [f"http://{host}.org/{'-'.join(common[k : k + 1_000])}" for host in ("stone", "river", "light") for k in range(0, len(common), 1_000)]
+    asked = {"http://zyzzyx-casino.org/": "block", "http://zyzzyx-offer.org/": "block", "http://zyzzyxoffer.org/": "block", "http://offer.org/": "allow"}
+    rows = spark.createDataFrame([(u,) for u in [*good, *asked]], "url string")
+    got = {r.url: r.verdict for r in url_filters.judged(rows, RULES).collect()}
+    assert {u: got[u] for u in asked} == asked and all(got[u] == "allow" for u in good)
+
+
 def test_viterbi_takes_the_cheapest_split():
     costs = {"cheap": 2.0, "pills": 2.0, "che": 1.9, "ap": 2.5}
     assert url_filters.segments("cheappills", costs, 8.0) == ["cheap", "pills"]
