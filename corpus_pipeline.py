@@ -28,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Rows without an id stay."""
-    groups = ngram_jaccard.near_duplicates(docs)
+    """One document of each group of near copies (sets of 5-word shingles, 0.8): the one with the smallest id. Rows without an id stay."""
+    groups = ngram_jaccard.near_duplicates(docs, size=5, percent=80)
     gone = cut(groups.where("component_id <> doc_id").select("doc_id").distinct())
     some, rest = split(docs, "doc_id", gone)
     return some.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(rest)

@@ -93,6 +93,18 @@ def test_stages_take_effect(spark, tables):
         assert sums[r.doc_id] == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
 
 
+def test_near_copies_are_five_words_and_80_percent(spark):
+    base = [f"w{i}" for i in range(800)]
+    edited = lambda n: " ".join(f"x{i}" if i % 40 == 20 and i < 40 * n else w for i, w in enumerate(base))
+    given = [(1, " ".join(base)), (2, edited(17)), (3, edited(20))]
+    sets = {i: test_ngram_jaccard.shingles(text, 5) for i, text in given}
+    near = {i for i in (2, 3) if 100 * len(sets[1] & sets[i]) >= 80 * len(sets[1] | sets[i])}
+    docs = spark.createDataFrame([(i, text, "aa", "s", len(text)) for i, text in given], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs.where("doc_id < 3"), "").collect()}
+    assert near == {2} and kept == {1}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs.where("doc_id <> 2"), "").collect()} == {1, 3}
+
+
 def test_run_gives_the_last_stage(spark, tables):
     got = corpus_pipeline.run(spark, tables[0])
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 100
