@@ -28,11 +28,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (sets of 5-word shingles, 0.8): the one with the smallest id. Rows without an id stay."""
-    groups = ngram_jaccard.near_duplicates(docs, size=5, percent=80)
-    gone = cut(groups.where("component_id <> doc_id").select("doc_id").distinct())
-    some, rest = split(docs, "doc_id", gone)
-    return some.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(rest)
+    """One row of each group of near copies (sets of 5-word shingles, 0.8): the one with the smallest id, of rows with that id the one with the
+    smallest hash of its text, of equal ones the smallest row. Rows of one id with other texts are judged by themselves. Rows without an id stay."""
+    groups = ngram_jaccard.clustered(docs, size=5, percent=80).where("doc is not null and component is not null")
+    found = cut(groups.groupBy("component", "doc", "th").agg(F.count(F.lit(1)).alias("rows")))
+    first = found.groupBy("component").agg(F.min(F.struct("doc", "th")).alias("first"))
+    stays = (F.col("doc") == F.col("first.doc")) & (F.col("th") == F.col("first.th"))
+    told = found.join(first, "component").select(F.col("doc").alias("doc_id"), "th", "rows", stays.alias("stays"))
+    changes = cut(told.where("not stays or rows > 1"))
+    some, rest = split(docs, "doc_id", changes.select("doc_id"))
+    some = some.withColumn("th", F.xxhash64("text")).join(changes.where("not stays"), ["doc_id", "th"], "left_anti")
+    again = changes.where("stays").select("doc_id", "th")
+    one = some.join(again, ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return some.join(again, ["doc_id", "th"], "left_anti").select(*docs.columns).unionByName(one).unionByName(rest)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -368,8 +368,8 @@ def linked_sets(docs: DataFrame, sets: DataFrame, posted: DataFrame, size: int,
         many *= 4
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the set's size and the smallest id that links lead to."""
+def clustered(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, th, n, component) of every row: its id, the hash of its text, the set's size, and what links lead to (null without a set)."""
     own = docs.select(F.col(id_col).cast(LongType()).alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     scan = cut(described(own, size))
     rows = scan.where("block is null").drop("block", "salt", "counts")
@@ -377,6 +377,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     sets = cut(rows.where("n > 0").groupBy("sig").agg(F.min("th").alias("th"), F.first("n").alias("n"), *[F.first(k).alias(k) for k in KEYS], F.first("bits").alias("bits")))
     posted = cut(shared_postings(postings(own, ranks, size, percent)))
     clusters = linked_sets(own, sets, posted, size, percent)
-    named = rows.select("doc", "n", "sig").join(clusters, F.col("sig") == F.col("node"), "left").select("doc", "n", F.coalesce("component", "sig").alias("component"))
+    return rows.select("doc", "th", "n", "sig").join(clusters, F.col("sig") == F.col("node"), "left").select("doc", "th", "n", F.coalesce("component", "sig").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: the set's size and the smallest id that links lead to."""
+    named = clustered(docs, size, percent, id_col, text).select("doc", "n", "component")
     least = named.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
     return named.join(least, "component", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"))

@@ -105,6 +105,14 @@ def test_near_copies_are_five_words_and_80_percent(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs.where("doc_id <> 2"), "").collect()} == {1, 3}
 
 
+def test_near_copies_on_repeated_ids(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    given = [(1, one), (2, other), (2, other), (3, one), (3, "a text of its own that nothing else is near to"), (4, None), (4, None), (None, one)]
+    docs = spark.createDataFrame([(i, text, "aa", "s", 1) for i, text in given], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    assert kept == sorted([(1, one), (2, other), (3, given[4][1]), (4, ""), (4, ""), (0, one)])
+
+
 def test_run_gives_the_last_stage(spark, tables):
     got = corpus_pipeline.run(spark, tables[0])
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 100
