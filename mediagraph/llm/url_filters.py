@@ -1,7 +1,7 @@
 """URL filters (operator 5): rules of host and path first, then a classifier over segmented names.
 
-Names such as `cheappills` are split into words by a unigram Viterbi pass; a multinomial naive Bayes model then scores the words of host
-and path. Both models come from the URLs themselves: the words and their counts from names that are written apart (by dots, hyphens,
+Names such as `cheappills` are split into words by a unigram Viterbi pass; a binarised naive Bayes model then scores the different
+words of host and path. Both models come from the URLs themselves: the words and their counts from names that are written apart (by dots, hyphens,
 digits), the two classes from hosts that do or don't contain one of a few seed words, each distinct host and word counting once, so
 that one busy host doesn't outvote the rest. Seed words only label; what decides is every word that goes with them. Counts cover all
 rows and all words. Vocabulary, splits and weights are tables of any size: each run of letters meets the words that stand in it by a join,
