@@ -1,11 +1,11 @@
-"""The registered queries op1 to op10: each applies its operator, with production parameters, to its whole table."""
+"""The registered queries op1 to op13: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mediagraph.llm import bpe, embedding_dedup, html_text, language_id, ngram_jaccard, packing, quality_rules, substring_dedup, url_filters, warc
+from mediagraph.llm import bpe, embedding_dedup, fill_middle, html_text, language_id, ngram_jaccard, packing, quality_rules, substring_dedup, url_filters, warc
 from mediagraph.llm.tables import query, read
 
 
@@ -73,3 +73,24 @@ def op5(spark, folder):
 @query("op7_html_text")
 def op7(spark, folder):
     return html_text.with_text(read(spark, folder, "pages"), keep=["page_id", "url"])
+
+
+FIM_SQL = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents)
+, u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t)
+, c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u)
+, p AS (SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p"""
+
+
+@query("op12_fill_middle", FIM_SQL)
+def op12(spark, folder):
+    rows = fill_middle.filled_in_middle(read(spark, folder, "documents"), keep=["doc_id"])
+    back = fill_middle.restored(F.col("fim.output"), F.col("fim.form"))
+    return rows.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+        F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
