@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mediagraph.llm import bpe, embedding_dedup, fill_middle, html_text, language_id, ngram_jaccard, packing, quality_rules, substring_dedup, url_filters, warc
+from mediagraph.llm import bpe, embedding_dedup, fill_middle, html_text, importance, language_id, ngram_jaccard, packing, quality_rules, substring_dedup, url_filters, warc
 from mediagraph.llm.tables import query, read
 
 
@@ -94,3 +94,30 @@ def op12(spark, folder):
     return rows.select(
         "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
         F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+# The checksum of a feature, byte by byte from its hex digits, with the usual table of 256 remainders.
+CRC = "list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(1, octet_length(f) + 1), lambda i: CAST(('0x' || hex(f)[2 * i - 1:2 * i]) AS UBIGINT))), " + (
+    f"lambda c, x: xor(CAST({importance.crc_table().tolist()} AS UBIGINT[])[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8))")
+IMPORTANCE_SQL = f"""WITH d AS (SELECT 1 AS side, doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents
+    UNION ALL SELECT 0, NULL, row_number() OVER (), coalesce(text, '') FROM benchmark)
+, w AS (SELECT side, doc_id, r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM d)
+, f AS (SELECT side, r, encode(f) AS f, count(*) AS n FROM (SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM w) GROUP BY ALL)
+, h AS (SELECT f, xor({CRC}, 4294967295) % 10000 AS b FROM (SELECT DISTINCT f FROM f))
+, c AS (SELECT side, r, b, sum(n) AS n FROM f JOIN h USING (f) GROUP BY ALL)
+, g AS (SELECT b, coalesce(sum(n) FILTER (side = 1), 0) AS s, coalesce(sum(n) FILTER (side = 0), 0) AS t FROM c GROUP BY b)
+, a AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM g)
+, gain AS (SELECT b, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM g, a)
+, per AS (SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM c JOIN gain USING (b) WHERE side = 1 GROUP BY r)
+, scored AS (SELECT w.doc_id, len(w.w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || coalesce(CAST(w.doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM w LEFT JOIN per USING (r) WHERE side = 1)
+, able AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) END AS k FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= (SELECT 5 * count(*) // 100 FROM scored WHERE n_words >= 20) THEN k END AS rank FROM able"""
+
+
+@query("op13_importance_resampling", IMPORTANCE_SQL)
+def op13(spark, folder):
+    rows = importance.resampled(read(spark, folder, "documents"), read(spark, folder, "benchmark"), keep=["doc_id"])
+    return rows.select("doc_id", "importance.n_features", "importance.weight", "importance.score", "importance.rank")
