@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mediagraph.llm import bpe, embedding_dedup, fill_middle, html_text, importance, language_id, ngram_jaccard, packing, quality_rules, substring_dedup, url_filters, warc
+from mediagraph.llm import bpe, embedding_dedup, fill_middle, html_text, importance, language_id, lm_scoring, ngram_jaccard, packing, quality_rules, substring_dedup, url_filters, warc
 from mediagraph.llm.tables import query, read
 
 
@@ -75,6 +75,16 @@ def op7(spark, folder):
     return html_text.with_text(read(spark, folder, "pages"), keep=["page_id", "url"])
 
 
+@query("op11_lm_scoring")
+def op11(spark, folder):
+    docs = read(spark, folder, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    corpus, tail = lm_scoring.fitted(docs.where(~held_out), path, public_tokenizers.PATTERN)
+    rows = lm_scoring.with_scores(docs, corpus, tail, keep=["doc_id"])
+    return rows.select("doc_id", held_out.alias("held_out"), "lm.n_tokens", "lm.n_known", "lm.train_tokens", "lm.base_score", "lm.score")
+
+
 FIM_SQL = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents)
 , u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
     CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t)
