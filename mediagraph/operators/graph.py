@@ -306,11 +306,11 @@ def chains(edges: DataFrame, entities: DataFrame, bases: DataFrame) -> DataFrame
     return rows.groupBy("base").applyInPandas(_list_chain, schema)
 
 
-def league_table(edges: DataFrame, entities: DataFrame, outlets: DataFrame, counts: DataFrame) -> DataFrame:
+def league_table(edges: DataFrame, entities: DataFrame, outlets: DataFrame, counts: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """Owners with no recorded parent and the outlets below them other than themselves: (entity_id, name, outlets,
-    recent). Walks up from outlets, not down from every owner."""
+    recent). Reads upward from outlets, not down from every owner: `above` has what a stored closure knows of them, else they are walked."""
     own = outlets.where(F.col("entity_id").isNotNull()).select("outlet_id", F.col("entity_id").alias("root"))
-    above = tops(edges, reach(current(edges), own.select("root"), up=True))
+    above = tops(edges, reach(current(edges), own.select("root"), up=True) if above is None else above)
     rows = above.join(own, "root").join(counts.select("outlet_id", "recent"), "outlet_id", "left")
     return (
         rows.groupBy(F.col("node").alias("entity_id")).agg(F.count("*").alias("outlets"), F.coalesce(F.sum("recent"), F.lit(0)).alias("recent"))
@@ -318,9 +318,9 @@ def league_table(edges: DataFrame, entities: DataFrame, outlets: DataFrame, coun
     )
 
 
-def owned_outlets(edges: DataFrame, entities: DataFrame, outlets: DataFrame, counts: DataFrame, owners: DataFrame) -> DataFrame:
+def owned_outlets(edges: DataFrame, entities: DataFrame, outlets: DataFrame, counts: DataFrame, owners: DataFrame, below: DataFrame | None = None) -> DataFrame:
     """(owner, outlet_id, via, total, recent): outlets at or below each owner, with the entities in between."""
-    paths = walk(current(edges), entities, owners.select(F.col("entity_id").alias("root")), up=False)
+    paths = walk(current(edges), entities, owners.select(F.col("entity_id").alias("root")), up=False) if below is None else below
     hits = paths.select(F.col("root").alias("owner"), F.col("node").alias("entity_id"), "path").join(
         outlets.select("outlet_id", "entity_id", "display_name"), "entity_id")
     via = F.when(F.size("path") > 2, F.slice("path", 2, F.size("path") - 2)).otherwise(F.array().cast("array<bigint>"))
@@ -329,10 +329,10 @@ def owned_outlets(edges: DataFrame, entities: DataFrame, outlets: DataFrame, cou
         F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("recent", F.lit(0)).alias("recent"))
 
 
-def owner_options(edges: DataFrame, entities: DataFrame, outlets: DataFrame) -> DataFrame:
+def owner_options(edges: DataFrame, entities: DataFrame, outlets: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """Everything above any outlet, once each."""
     seeds = outlets.where(F.col("entity_id").isNotNull()).select(F.col("entity_id").alias("root"))
-    above = reach(current(edges), seeds, up=True).where(F.col("root") != F.col("node"))
+    above = (reach(current(edges), seeds, up=True) if above is None else above).where(F.col("root") != F.col("node"))
     return above.select(F.col("node").alias("entity_id")).distinct().join(entities.select("entity_id", "name"), "entity_id")
 
 

@@ -23,18 +23,18 @@ def coverage_by_owner(edges: DataFrame, entities: DataFrame, outlets: DataFrame,
     return rows.join(sums, "_group").select("owners", "matched", "group_articles", "outlet_id", "display_name", "articles")
 
 
-def owner_topics(edges: DataFrame, owner: DataFrame, outlets: DataFrame, articles: DataFrame, most: int) -> DataFrame:
+def owner_topics(edges: DataFrame, owner: DataFrame, outlets: DataFrame, articles: DataFrame, most: int, below: DataFrame | None = None) -> DataFrame:
     """(tag, n): the most frequent tags of articles of outlets at or below an owner."""
-    below = graph.reach(graph.current(edges), owner.select(F.col("entity_id").alias("root")), up=False)
+    below = graph.reach(graph.current(edges), owner.select(F.col("entity_id").alias("root")), up=False) if below is None else below
     own = outlets.join(below.select(F.col("node").alias("entity_id")), "entity_id", "left_semi").select("outlet_id")
     recent = articles.join(own, "outlet_id", "left_semi")
     return recent.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(most)
 
 
-def owner_mentions(articles: DataFrame, outlets: DataFrame, named: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
+def owner_mentions(articles: DataFrame, outlets: DataFrame, named: DataFrame, edges: DataFrame, entities: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """Articles naming something above their own outlet, with the shortest chain from it down to the outlet."""
     roots = outlets.where(F.col("entity_id").isNotNull()).select("outlet_id", F.col("entity_id").alias("root"))
-    above = graph.walk(graph.current(edges), entities, roots.select("root")).where("depth > 0")
+    above = (graph.walk(graph.current(edges), entities, roots.select("root")) if above is None else above).where("depth > 0")
     chains = above.select("root", F.col("node").alias("entity_id"), F.reverse("path").alias("path"))
     return articles.join(roots, "outlet_id").join(named, "article_id").join(chains, ["root", "entity_id"])
 

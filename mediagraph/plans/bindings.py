@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediagraph.operators.closure import Ownership
 from mediagraph.session import use_utc
 
 SQL = {
@@ -125,6 +127,11 @@ class Tables:
             F.col("c_custkey").alias("entity_id"), F.concat(F.lit("Q"), (F.col("c_custkey") + 1).cast("string")).alias("qid"),
             F.col("c_name").alias("name"), kind.alias("kind"), F.array(kind).alias("kinds"), F.col("c_nationkey").alias("country"))
 
+    @functools.cached_property
+    def own(self) -> Ownership:
+        """The application's stored closures of these edges."""
+        return Ownership(self.spark, hashlib.md5(self.folder.encode()).hexdigest(), self.edges, self.entities)
+
     @property
     def funding(self) -> DataFrame:
         return self.read("orders").select(

@@ -30,7 +30,7 @@ def tables(t: Tables) -> FeedTables:
         articles=t.articles.withColumn("title", F.col("tag")).withColumn("about", F.lit("")),
         outlets=t.outlets, tags=t.articles.select("article_id", F.col("tag").alias("slug")),
         places=t.mentions.select("article_id", F.col("country").cast("string").alias("country")),
-        mentions=named, edges=t.edges, entities=t.entities)
+        mentions=named, edges=t.edges, entities=t.entities, own=t.own)
 
 
 def brief(rows: DataFrame) -> DataFrame:
@@ -226,7 +226,8 @@ SELECT a.tag, count(*) AS n FROM b_articles a JOIN b_outlets o ON o.outlet_id =
 WHERE o.entity_id IN (SELECT node FROM below) AND a.seen >= TIMESTAMP '2024-01-01 00:00:00' GROUP BY a.tag ORDER BY n DESC, a.tag LIMIT 12""")
 def _(t: Tables) -> DataFrame:
     owner = t.entities.where(F.col("entity_id") == 7)
-    return reports.owner_topics(t.edges, owner, t.outlets, t.articles.where(F.col("seen") >= F.lit(NOW - timedelta(days=30))), most=12)
+    below = t.own.below(owner.select(F.col("entity_id").alias("root")))
+    return reports.owner_topics(t.edges, owner, t.outlets, t.articles.where(F.col("seen") >= F.lit(NOW - timedelta(days=30))), most=12, below=below)
 
 
 @query("place_options", ("b_articles", "b_mentions"), """, n AS (SELECT m.country, count(*) AS stories FROM (SELECT DISTINCT article_id, country FROM b_mentions) m

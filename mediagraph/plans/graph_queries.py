@@ -34,7 +34,7 @@ def text(path: str):
 
 @query("graph_ancestors", GRAPH, UP_PATHS + """SELECT root, node, depth, array_to_string(path, '>') AS path FROM best WHERE n = 1 AND depth > 0""")
 def _(t: Tables) -> DataFrame:
-    rows = graph.walk(graph.current(t.edges), t.entities, starts(t)).where("depth > 0")
+    rows = t.own.above(starts(t), include_roots=False)
     return rows.select("root", "node", "depth", text("path").alias("path"))
 
 
@@ -45,7 +45,7 @@ def _(t: Tables) -> DataFrame:
 
 def lineage(t: Tables) -> DataFrame:
     """Each outlet's entity and everything above it, nearest first (`place` 1 is the entity itself)."""
-    rows = graph.walk(graph.current(t.edges), t.entities, starts(t))
+    rows = t.own.above(starts(t))
     w = Window.partitionBy("root").orderBy("depth", "rank")
     return rows.select("root", "node", F.row_number().over(w).alias("place"))
 
@@ -59,7 +59,7 @@ SELECT root, node, depth, array_to_string(path, '>') AS path FROM best WHERE n =
 def _(t: Tables) -> DataFrame:
     live = graph.current(t.edges)
     roots = live.join(live.select(F.col("child").alias("parent")), "parent", "left_anti").select(F.col("parent").alias("root"))
-    rows = graph.walk(live, t.entities, roots, up=False).where("depth > 0")
+    rows = t.own.below(roots, include_roots=False)
     return rows.select("root", "node", "depth", text("path").alias("path"))
 
 
@@ -75,15 +75,15 @@ def _(t: Tables) -> DataFrame:
 
 @query("graph_ultimate_owners", GRAPH, CLOSURE + "SELECT root, node FROM reach WHERE root <> node AND node NOT IN (SELECT child FROM live)")
 def _(t: Tables) -> DataFrame:
-    return graph.tops(t.edges, graph.reach(graph.current(t.edges), starts(t))).select("root", "node")
+    return graph.tops(t.edges, t.own.above(starts(t))).select("root", "node")
 
 
 @query("graph_depth_limited_walk", GRAPH, """, lv(node, depth) AS (SELECT DISTINCT entity_id, 0 FROM b_outlets WHERE entity_id IS NOT NULL
-  UNION SELECT e.parent, l.depth + 1 FROM lv l JOIN b_edges e ON e.child = l.node AND e.source <> 'set_aside' WHERE l.depth < 2)
-SELECT node, min(depth) AS depth, CAST(min(depth) < 2 AS INT) AS examined FROM lv GROUP BY node""")
+  UNION SELECT e.parent, l.depth + 1 FROM lv l JOIN b_edges e ON e.child = l.node AND e.source <> 'set_aside' WHERE l.depth < 10)
+SELECT node, min(depth) AS depth, CAST(min(depth) < 10 AS INT) AS examined FROM lv GROUP BY node""")
 def _(t: Tables) -> DataFrame:
-    rows = graph.reach(graph.current(t.edges), starts(t), max_depth=2).groupBy("node").agg(F.min("depth").alias("depth"))
-    return rows.withColumn("examined", (F.col("depth") < 2).cast("int"))
+    rows = graph.reach(graph.current(t.edges), starts(t), max_depth=10).groupBy("node").agg(F.min("depth").alias("depth"))
+    return rows.withColumn("examined", (F.col("depth") < 10).cast("int"))
 
 
 # The single step a climb takes from each child.
@@ -184,7 +184,7 @@ SELECT r.node AS entity_id, e.name, count(*) AS outlets, CAST(sum(coalesce(c.rec
 LEFT JOIN counts c ON c.outlet_id = o.outlet_id JOIN b_entities e ON e.entity_id = r.node
 WHERE r.root <> r.node AND r.node NOT IN (SELECT child FROM live) GROUP BY r.node, e.name""")
 def _(t: Tables) -> DataFrame:
-    return graph.league_table(t.edges, t.entities, t.outlets, article_counts(t))
+    return graph.league_table(t.edges, t.entities, t.outlets, article_counts(t), t.own.above(starts(t)))
 
 
 @query("owner_outlets", ("b_edges", "b_entities", "b_outlets", "b_articles"), COUNTS + ORDERED + """
@@ -196,13 +196,13 @@ SELECT b.root AS owner, o.outlet_id, array_to_string(b.path[2:len(b.path) - 1],
 FROM best b JOIN b_outlets o ON o.entity_id = b.node LEFT JOIN counts c ON c.outlet_id = o.outlet_id WHERE b.n = 1""")
 def _(t: Tables) -> DataFrame:
     owner = t.entities.where(F.col("entity_id") == 0)
-    rows = graph.owned_outlets(t.edges, t.entities, t.outlets, article_counts(t), owner)
+    rows = graph.owned_outlets(t.edges, t.entities, t.outlets, article_counts(t), owner, t.own.below(owner.select(F.col("entity_id").alias("root"))))
     return rows.select("owner", "outlet_id", text("via").alias("via"), "total", "recent")
 
 
 @query("owner_options", GRAPH, CLOSURE + "SELECT DISTINCT r.node AS entity_id, e.name FROM reach r JOIN b_entities e ON e.entity_id = r.node WHERE r.node <> r.root")
 def _(t: Tables) -> DataFrame:
-    return graph.owner_options(t.edges, t.entities, t.outlets)
+    return graph.owner_options(t.edges, t.entities, t.outlets, t.own.above(starts(t)))
 
 
 @query("filter_options", ("b_edges", "b_entities", "b_outlets", "b_articles"), CLOSURE + """
@@ -212,7 +212,7 @@ UNION ALL SELECT DISTINCT 'owner', e.name FROM reach r JOIN b_entities e ON e.en
 def _(t: Tables) -> DataFrame:
     active = t.outlets.where("active")
     part = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")).distinct()
-    owners = graph.owner_options(t.edges, t.entities, t.outlets)
+    owners = graph.owner_options(t.edges, t.entities, t.outlets, t.own.above(starts(t)))
     return (part("country", active, "country").unionByName(part("outlet", active, "domain"))
             .unionByName(part("tag", t.articles, "tag")).unionByName(part("owner", owners, "name")))
 
@@ -225,7 +225,7 @@ WHERE a.seen >= TIMESTAMP '2024-01-08 00:00:00'""")
 def _(t: Tables) -> DataFrame:
     named = t.mentions.groupBy("article_id", "entity_id").agg(F.count("*").alias("mentions"))
     recent = t.articles.where(F.col("seen") >= F.lit("2024-01-08 00:00:00").cast("timestamp"))
-    rows = reports.owner_mentions(recent, t.outlets, named, t.edges, t.entities)
+    rows = reports.owner_mentions(recent, t.outlets, named, t.edges, t.entities, t.own.above(starts(t)))
     return rows.select("article_id", "entity_id", "mentions", text("path").alias("path"))
 
 

@@ -220,7 +220,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("pages_due_for_dates", AO, """, d AS (SELECT *, CAST(article_id % 3 AS INT) AS attempts FROM b_articles) SELECT article_id, seen FROM d WHERE stated IS NULL AND attempts < 2 AND seen >= TIMESTAMP '2024-01-28 00:00:00'
-AND (checked IS NULL OR checked < TIMESTAMP '2024-01-30 23:00:00') ORDER BY seen DESC, article_id DESC LIMIT 150""")
+AND (checked IS NULL OR checked < TIMESTAMP '2024-01-30 23:00:00') """)
 def _(t: Tables) -> DataFrame:
     rows = t.articles.withColumn("attempts", (F.col("article_id") % 3).cast("int"))
     return dates.due_pages(rows, NOW).select("article_id", "seen")
