@@ -76,6 +76,15 @@ def relaxed(candidates: DataFrame, stored: DataFrame, steps: DataFrame) -> DataF
         candidates = extended(better, steps)
 
 
+def walked(steps: DataFrame) -> DataFrame:
+    """The whole closure, level by level: what is first met is best."""
+    levels = [cut(best_of(extended(beginnings(steps.select("at").distinct()), steps)))]
+    while not is_empty(levels[-1]):
+        met = reduce(DataFrame.unionByName, levels).select("root", "node")
+        levels.append(cut(best_of(extended(levels[-1], steps).join(met, ["root", "node"], "left_anti"))))
+    return reduce(DataFrame.unionByName, levels)
+
+
 def doubtful(stored: DataFrame, deleted: DataFrame) -> DataFrame:
     """(root, node) of stored pairs whose shortest path may use a deleted step."""
     before = stored.select("root", F.col("node").alias("at"), F.col("depth").alias("d1")).unionByName(
@@ -115,13 +124,15 @@ class Closure:
         """Bring the table up to these steps; whether anything had changed."""
         log = self.log
         old = log.read(STEPS, kind="steps")
-        if log.state().version >= 0:
-            mark = [F.count("*"), F.sum(F.xxhash64("at", "to", "key").cast("decimal(38,0)"))]
-            steps = cut(steps)
-            if steps.agg(*mark).first() == old.agg(*mark).first():
-                return False
-        else:
-            steps = cut(steps)
+        part = bucket(F.col("root"))
+        steps = cut(steps)
+        if log.state().version < 0:
+            rows = log.write(walked(steps).repartition(part).sortWithinPartitions("root", "node"), part)
+            log.commit([*rows, *log.write(steps, kind="steps")])
+            return True
+        mark = [F.count("*"), F.sum(F.xxhash64("at", "to", "key").cast("decimal(38,0)"))]
+        if steps.agg(*mark).first() == old.agg(*mark).first():
+            return False
         inserted, deleted = cut(steps.subtract(old)), cut(old.subtract(steps))
         stored = log.read(ROWS)
         lost = None
@@ -146,7 +157,6 @@ class Closure:
         kept = log.read_pieces(ROWS, worn)
         kept = kept if lost is None else kept.join(lost, ["root", "node"], "left_anti")
         kept = kept.join(better.select("root", "node"), ["root", "node"], "left_anti").unionByName(better)
-        part = bucket(F.col("root"))
         rows = log.write(kept.repartition(part).sortWithinPartitions("root", "node"), part)
         log.commit([*rows, *log.write(steps, kind="steps")], [*worn, *log.picked("steps")])
         return True
