@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediagraph.operators.closure import Ownership
-from mediagraph.session import use_utc
+from mediagraph.operators.textindex import TextIndex
+from mediagraph.session import cut_folder, use_utc
 
 SQL = {
     "b_outlets": """SELECT s_suppkey AS outlet_id, concat('s', CAST(s_suppkey AS STRING), '.example.com') AS domain,
@@ -132,6 +133,13 @@ class Tables:
         """The application's stored closures of these edges."""
         return Ownership(self.spark, hashlib.md5(self.folder.encode()).hexdigest(), self.edges, self.entities)
 
+    @functools.cached_property
+    def index(self) -> TextIndex:
+        """The application's stored index of `docs`, filled when it is first asked for."""
+        index = TextIndex(self.spark, f"{cut_folder(self.spark)}/index-{hashlib.md5(self.folder.encode()).hexdigest()}")
+        index.add(self.docs, 0)
+        return index
+
     @property
     def funding(self) -> DataFrame:
         return self.read("orders").select(

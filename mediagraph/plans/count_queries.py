@@ -152,12 +152,12 @@ RANK = POSTED + """, ph AS (SELECT doc_id, phrase, sum(freq * CASE field WHEN 't
 
 @query("search_postings", ("b_docs",), POSTED + "SELECT * FROM post")
 def _(t: Tables) -> DataFrame:
-    return search.build_postings(t.docs)
+    return t.index.postings()
 
 
 @query("search_ranked", ("b_docs",), RANK + "SELECT doc_id, round(score, 5) AS score FROM scored WHERE k = 3")
 def _(t: Tables) -> DataFrame:
-    return search.rank(t.docs, QUERY).select("doc_id", F.round("score", 5).alias("score"))
+    return t.index.ranked(QUERY).select("doc_id", F.round("score", 5).alias("score"))
 
 
 @query("search_ranked_from_postings", ("b_docs",), RANK + "SELECT doc_id, round(score, 5) AS score FROM scored WHERE k = 3")
@@ -170,15 +170,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("search_best_page", ("b_docs",), RANK + "SELECT s.doc_id, round(score, 5) AS score, d.seen FROM scored s JOIN b_docs d ON d.doc_id = s.doc_id WHERE k = 3 ORDER BY round(score, 5) DESC, d.seen DESC, s.doc_id DESC LIMIT 25")
 def _(t: Tables) -> DataFrame:
-    hits = search.rank(t.docs, QUERY).select("doc_id", F.round("score", 5).alias("score"))
+    hits = t.index.top(QUERY, 25, slack=1e-5).select("doc_id", F.round("score", 5).alias("score"))
     return hits.join(t.docs.select("doc_id", "seen"), "doc_id").orderBy(F.desc("score"), F.desc("seen"), F.desc("doc_id")).limit(25)
 
 
 @query("search_matching", ("b_docs",), POSTED + """SELECT d.doc_id FROM b_docs d WHERE EXISTS (SELECT 1 FROM post p WHERE p.doc_id = d.doc_id AND p.term = 'src1')
 AND EXISTS (SELECT 1 FROM post p WHERE p.doc_id = d.doc_id AND starts_with(p.term, 'tion'))""")
 def _(t: Tables) -> DataFrame:
-    terms = search.SearchTerms.parse("SRC1 Tion")
-    return t.docs.where(terms.matches(F.col("title"), F.col("about"))).select("doc_id")
+    return t.index.matching("SRC1 Tion")
 
 
 @query("search_matched_names", sql="""SELECT p_partkey, CASE WHEN starts_with(lower(p_type), 'e') THEN '' WHEN starts_with(lower(p_name), 'r') OR contains(lower(p_name), ' r') THEN p_name ELSE '' END AS names
