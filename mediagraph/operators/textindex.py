@@ -175,7 +175,7 @@ class TextIndex:
 
         # the k-th of the first spans is at most the k-th of all
         least = kth(self._scored(found.where(F.col("span").isin(first)), terms, frequencies))
-        rest = bounds if least[1] < k else bounds.where(F.col("bound") >= least[0] - slack - 1e-9)
+        rest = bounds if least[1] < k else bounds.where(F.col("bound") >= least[0] * (1 - 1e-9) - slack)
         if seen is not None:
             seen |= {"spans": bounds.count(), "read": rest.select("span").unionByName(bounds.where(F.col("span").isin(first)).select("span")).distinct().count()}
         scores = cut(self._scored(found.join(rest.select("span"), "span", "left_semi"), terms, frequencies))
