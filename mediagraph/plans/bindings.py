@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediagraph.operators.closure import Ownership
+from mediagraph.operators.feedstore import FeedStore
 from mediagraph.operators.textindex import TextIndex
 from mediagraph.session import cut_folder, use_utc
 
@@ -140,6 +141,14 @@ class Tables:
         index.add(self.docs, 0)
         return index
 
+    @functools.cached_property
+    def feed(self) -> FeedStore:
+        """The application's stored feed of `articles`, filled when it is first asked for."""
+        rows = self.articles.withColumn("title", F.col("tag")).withColumn("about", F.lit(""))
+        store = FeedStore(self.spark, f"{cut_folder(self.spark)}/feed-{hashlib.md5(self.folder.encode()).hexdigest()}", rows.schema)
+        store.add(rows, 0)
+        return store
+
     @property
     def funding(self) -> DataFrame:
         return self.read("orders").select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
@@ -42,8 +43,7 @@ BRIEF = "article_id, outlet_id, display_name, shown, CASE WHEN stated IS NOT NUL
 
 @query("feed_balanced_newest", AO, RANKED + f"SELECT {BRIEF} FROM ranked WHERE n <= 3 ORDER BY shown DESC, article_id DESC LIMIT 50")
 def _(t: Tables) -> DataFrame:
-    ft = tables(t)
-    return brief(feed.page_slice(feed.capped(feed.matching(ft, FeedFilters())), "newest", 1, 50))
+    return brief(t.feed.page(t.outlets, FeedFilters())[0])
 
 
 @query("feed_capped_all", AO, RANKED + f"SELECT {BRIEF} FROM ranked WHERE n <= 3")
@@ -54,7 +54,7 @@ def _(t: Tables) -> DataFrame:
 @query("feed_page_7_oldest", AO, JOINED + f"SELECT {BRIEF} FROM joined ORDER BY shown, article_id LIMIT 25 OFFSET 150")
 def _(t: Tables) -> DataFrame:
     f = FeedFilters.parse({"sort": "oldest", "per": "25", "page": "7", "mix": "all"})
-    return brief(feed.feed_page(tables(t), f)[0])
+    return brief(t.feed.page(t.outlets, f)[0])
 
 
 @query("feed_outlet_order", AO, RANKED + f"SELECT {BRIEF} FROM ranked WHERE n <= 3 ORDER BY lower(display_name), shown DESC, article_id DESC LIMIT 100")
@@ -70,16 +70,17 @@ def _(t: Tables) -> DataFrame:
 
 @query("feed_country_filter", AO, JOINED + f"SELECT {BRIEF} FROM joined WHERE country = (SELECT min(country) FROM b_outlets)")
 def _(t: Tables) -> DataFrame:
-    first = t.outlets.agg(F.min("country").alias("country"))  # one row
-    return brief(feed.matching(tables(t), FeedFilters()).join(first, "country", "left_semi"))
+    ft = tables(t)
+    first = t.outlets.agg(F.min("country").cast("string")).first()[0]
+    return brief(feed.matching(replace(ft, outlets=ft.outlets.withColumn("country", F.col("country").cast("string"))), FeedFilters(country=first)))
 
 
 @query("feed_date_range", AO, JOINED + f"""SELECT {BRIEF}, CAST(shown - INTERVAL '5' HOUR AS DATE) AS local_day FROM joined
 WHERE shown >= TIMESTAMP '2024-01-05 05:00:00' AND shown < TIMESTAMP '2024-01-12 05:00:00'""")
 def _(t: Tables) -> DataFrame:
     f = FeedFilters.parse({"from": "2024-01-11", "to": "2024-01-05"})  # the wrong way round: swapped
-    rows = feed.matching(tables(t), f, ZONE)
-    return brief(rows.withColumn("stated", F.col("stated"))).withColumn("local_day", when.local_day(F.col("shown"), ZONE))
+    rows = t.feed.rows(t.outlets, f, ZONE)
+    return brief(rows).withColumn("local_day", when.local_day(F.col("shown"), ZONE))
 
 
 @query("feed_local_days", AO, JOINED + """SELECT CAST(shown - INTERVAL '5' HOUR AS DATE) AS local_day, count(*) AS articles,
@@ -98,9 +99,10 @@ def _(t: Tables) -> DataFrame:
 @query("feed_place_filter", ("b_articles", "b_outlets", "b_mentions"), JOINED + f"""SELECT {BRIEF} FROM joined
 WHERE EXISTS (SELECT 1 FROM b_mentions m WHERE m.article_id = joined.article_id AND m.country IN (3, 7, 11))""")
 def _(t: Tables) -> DataFrame:
-    # A group of places stands for its members: here nations 3, 7 and 11.
-    members = t.mentions.where(F.col("country").isin(3, 7, 11)).select("article_id")
-    return brief(feed.matching(tables(t), FeedFilters()).join(members, "article_id", "left_semi"))
+    # A group of places stands for its members: here nations 3, 7 and 11 are named as three of its countries, the others as none.
+    ft = tables(t)
+    code = F.when(F.col("country") == 3, "FR").when(F.col("country") == 7, "GM").when(F.col("country") == 11, "EI").otherwise("CA")
+    return brief(feed.matching(replace(ft, places=t.mentions.select("article_id", code.alias("country"))), FeedFilters.parse({"place": "eu"})))
 
 
 @query("feed_owner_subtree", ("b_articles", "b_outlets", "b_edges"), JOINED + f""", below(node) AS (SELECT CAST(7 AS BIGINT)
@@ -149,12 +151,12 @@ def _(t: Tables) -> DataFrame:
 @query("feed_counts_per_outlet", AO, RANKED + """SELECT outlet_id, CAST(sum(CAST(n <= 3 AS INT)) AS BIGINT) AS articles, CAST(sum(CAST(n > 3 AS INT)) AS BIGINT) AS hidden
 FROM ranked GROUP BY outlet_id""")
 def _(t: Tables) -> DataFrame:
-    return feed.counts_per_outlet(feed.matching(tables(t), FeedFilters()))
+    return t.feed.counts_per_outlet(t.outlets)
 
 
 @query("feed_totals", AO, RANKED + "SELECT CAST(sum(CAST(n <= 3 AS INT)) AS BIGINT) AS total, CAST(sum(CAST(n > 3 AS INT)) AS BIGINT) AS hidden FROM ranked")
 def _(t: Tables) -> DataFrame:
-    return feed.totals(feed.matching(tables(t), FeedFilters()))
+    return t.feed.totals(t.outlets)
 
 
 @query("feed_pages_all", AO, RANKED + """SELECT article_id, CAST(floor((row_number() OVER (ORDER BY shown DESC, article_id DESC) - 1) / 50) + 1 AS BIGINT) AS page
@@ -168,7 +170,7 @@ def _(t: Tables) -> DataFrame:
 WHERE n <= 3 ORDER BY shown DESC, article_id DESC LIMIT 100)
 SELECT article_id, heading, CAST(dense_rank() OVER (ORDER BY heading DESC) AS BIGINT) AS group_no FROM page""")
 def _(t: Tables) -> DataFrame:
-    page = feed.page_slice(feed.capped(feed.matching(tables(t), FeedFilters())), "newest", 1, 100)
+    page = t.feed.page(t.outlets, FeedFilters(per=100))[0]
     return feed.headed_groups(page, "newest", ZONE).select("article_id", "heading", "group_no")
 
 
