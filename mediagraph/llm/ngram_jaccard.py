@@ -38,8 +38,8 @@ from mediagraph.llm.wanted import split
 from mediagraph.session import cut
 
 SHINGLE, PERCENT = 4, 85
-#: Counters of the shingle order, members of a group.
-COUNTER_BITS, GROUP = 18, 64
+#: Counters of the shingle order (so many that a counter's own shingles drown few others), counters of one shuffled block, members of a group.
+COUNTER_BITS, COUNTER_BLOCK, GROUP = 22, 1 << 16, 64
 KEYS = ("key0", "key1", "key2", "key3")
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -93,7 +93,7 @@ def described(docs: DataFrame, size: int) -> DataFrame:
     schema = "doc bigint, th bigint, n bigint, sig bigint, " + "".join(f"{k} bigint, " for k in KEYS) + "bits binary, block int, salt int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, names = np.zeros(1 << COUNTER_BITS, np.int64), ["doc", "th", "n", "sig", *KEYS, "bits", "block", "salt", "counts"]
+        counters, names = np.zeros(1 << COUNTER_BITS, np.uint32), ["doc", "th", "n", "sig", *KEYS, "bits", "block", "salt", "counts"]
         for batch in batches:
             n, sig, keys, bits, seen = [], [], [], [], set()
             for tokens in batch_sets(batch.column(2), size):
@@ -112,32 +112,39 @@ def described(docs: DataFrame, size: int) -> DataFrame:
                 batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(4)),
                 pa.array(bits, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
                 names)
-        blocks = counters.astype(np.uint32).reshape(-1, 4096)
+        # a task's counts beyond 255 are common enough to say so
+        blocks = np.minimum(counters, 255).astype(np.uint8).reshape(-1, COUNTER_BLOCK)
         used = np.flatnonzero(blocks.any(axis=1))
         none = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays([
             *[none] * 8, pa.nulls(len(used), pa.binary()), pa.array(used.astype(np.int32)), pa.array(np.full(len(used), TaskContext.get().partitionId() % 64, np.int32)),
-            words.blobs(blocks[used].ravel(), np.full(len(used), 4096))], names)
+            words.blobs(blocks[used].ravel(), np.full(len(used), COUNTER_BLOCK))], names)
 
     return docs.mapInArrow(run, schema)
 
 
 def counter_ranks(blocks: DataFrame) -> np.ndarray:
-    """Rank (log of the count) of each counter. The sums are made in two steps; what reaches the driver is one array of fixed size."""
+    """Rank of each counter (quarters of the count's log, 63 at most). The sums are made in two steps; what reaches the driver is one array of fixed size."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        sums = np.zeros(4096, np.int64)
+    def summed(table: pa.Table, kind: type) -> np.ndarray:
+        sums = np.zeros(COUNTER_BLOCK, np.int64)
         for x in table["counts"]:
-            raw = x.as_buffer()
-            sums += np.frombuffer(raw, np.uint32 if len(raw) == 16384 else np.int64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([sums.tobytes()], pa.binary())})
-
-    half = blocks.groupBy("block", "salt").applyInArrow(run, "block int, counts binary")
-    got = half.groupBy("block").applyInArrow(run, "block int, counts binary").toArrow()
-    out = np.zeros(1 << COUNTER_BITS, np.int64)
-    for block, raw in zip(got["block"].to_pylist(), got["counts"].to_pylist(), strict=True):
-        out[block * 4096 : (block + 1) * 4096] = np.frombuffer(raw, np.int64)
-    return np.log2(np.maximum(out, 1)).astype(np.uint8)
+            sums += np.frombuffer(x.as_buffer(), kind)
+        return sums
+
+    def half(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([summed(table, np.uint8).tobytes()], pa.binary())})
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        ranks = np.minimum(4 * np.log2(np.maximum(summed(table, np.int64), 1)), 63).astype(np.uint8)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ranks": pa.array([ranks.tobytes()], pa.binary())})
+
+    sums = blocks.groupBy("block", "salt").applyInArrow(half, "block int, counts binary")
+    got = sums.groupBy("block").applyInArrow(whole, "block int, ranks binary").toArrow()
+    out = np.zeros(1 << COUNTER_BITS, np.uint8)
+    for block, raw in zip(got["block"].to_pylist(), got["ranks"].to_pylist(), strict=True):
+        out[block * COUNTER_BLOCK : (block + 1) * COUNTER_BLOCK] = np.frombuffer(raw, np.uint8)
+    return out
 
 
 def postings(docs: DataFrame, ranks: np.ndarray, size: int, percent: int) -> DataFrame:
