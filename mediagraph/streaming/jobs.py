@@ -1,15 +1,15 @@
 """The collection cycle as Structured Streaming.
 
-One query reads slot files, each once, oldest first, and hands every micro-batch to a `CollectJob`: parse, keep the first of each key, tag,
-place, match names, link stories. Progress is the checkpoint; every table is written per batch id, so a replayed batch replaces its own
-output and nothing else.
+One query reads slot files, each once, oldest first, and hands every micro-batch to a `CollectJob`: parse, keep the first of each key, fill in
+what is stored without names or themes, tag, place, match names, link stories. Progress is the checkpoint; every table has a log of commits that
+knows its batches, so a replayed batch adds what is missing and nothing else.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from datetime import timedelta
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +18,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mediagraph.functions import url
 from mediagraph.operators import counts, dates, load, mentions, stories, tagging
+from mediagraph.operators.feedstore import FeedStore
 from mediagraph.session import cut
-from mediagraph.sources import lines, pages, sink
+from mediagraph.sources import lines, pages
+from mediagraph.sources.tablelog import TableLog
 
 ARTICLES = """article_id bigint, url_key string, url string, title string, domain string, outlet_id bigint, seen timestamp, language string,
 image_url string, about array<string>, names array<string>, themes map<string,bigint>, source_url string"""
@@ -32,6 +34,10 @@ STORIES = "article_id bigint, story_id bigint, linked_to bigint, shared array<st
 DATES = "article_id bigint, at timestamp, method string, conflict boolean, checked timestamp"
 
 
+ARTICLE_COLUMNS = [c.split()[0] for c in ARTICLES.replace("map<string,bigint>", "map").split(",")]
+RECORD = "_all array<struct<value:string,count:bigint>>, _places array<struct<value:string,count:bigint>>"
+STAGED = f"{ARTICLES}, {RECORD}"
+FILLED = f"{ARTICLES}, batch int, day date, names_filled boolean, themes_filled boolean, {RECORD}"
 BATCH_IDS = 1 << 36  # ids set aside for one batch
 
 
@@ -61,88 +67,170 @@ class CollectJob:
     places: Callable[[], DataFrame]  # code, name
     pages: Callable[[DataFrame], DataFrame] | None = None  # new articles -> (article_id, html) that were read
     link: bool = True
+    feed: FeedStore | None = None  # article_id, outlet_id, seen, stated, title, about: what readers see
+    compact_from: int = 16  # files of one part that are made one
     schemas: dict[str, str] = field(default_factory=lambda: {
         "articles": ARTICLES, "tags": TAGS, "places": PLACES, "mentions": MENTIONS, "stories": STORIES, "dates": DATES, "sections": SECTIONS, "unreadable": UNREADABLE})
 
-    def table(self, name: str, before: int | None = None) -> DataFrame:
-        """A result table; with `before`, only batches earlier than it (what a replay may look at)."""
-        df = sink.read_table(self.spark, f"{self.root}/{name}", self.schemas[name], day=name == "articles")
-        return df if before is None else df.where(F.col("batch") < before)
+    def log(self, name: str) -> TableLog:
+        return TableLog(self.spark, f"{self.root}/{name}")
+
+    def schema(self, name: str) -> str:
+        return f"{self.schemas[name]}, batch int" + (", day date" if name == "articles" else "")
+
+    def table(self, name: str, before: int | None = None, since: date | None = None) -> DataFrame:
+        """A result table. With `before`, files of earlier batches only (what a replay may look at); with `since`, of days from it on."""
+        return self.log(name).read(self.schema(name), keep=lambda p: (before is None or p.batch < before) and (since is None or p.part is None or p.part >= str(since)))
+
+    def put(self, name: str, rows: DataFrame, batch_id: int) -> None:
+        """Append a batch's rows; a replay finds them there and writes nothing."""
+        rows = rows.withColumn("batch", F.lit(batch_id))
+        if name == "articles":
+            self.log(name).append(rows.withColumn("day", F.to_date("seen")), batch_id, F.col("day"))
+        else:
+            self.log(name).append(rows, batch_id)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if "error" in batch.columns:
             unzipped = cut(batch)  # each archive is opened once
-            sink.write_batch(unzipped.where("error is not null").select("file", "error"), f"{self.root}/unreadable", batch_id)
+            self.put("unreadable", unzipped.where("error is not null").select("file", "error"), batch_id)
             batch = lines.good_files(unzipped)
         numbered = batch if "arrival" in batch.columns else lines.number_lines(batch)
         self.store(lines.parse_lines(numbered, self.outlets()), batch_id)
+        self.tidy(batch_id)
 
-    def store(self, records: DataFrame, batch_id: int) -> None:
-        """One batch of article records: dedup, write, then everything that hangs off the new articles."""
+    def tidy(self, batch_id: int) -> None:
+        """Few files for many, of batches before this one (which may be replayed)."""
+        for name in self.schemas:
+            self.log(name).compact(self.schema(name), least=self.compact_from, before=batch_id)
+
+    def described(self, records: DataFrame) -> DataFrame:
+        """Records of known outlets with what they are about, kept names, themes in use, and all names and places."""
         keyed = records.withColumn("url_key", url.canonical_key(F.col("url")))
-        outlets = self.outlets()
-        known = keyed.join(outlets.select("domain", "outlet_id"), "domain")
-        fresh = load.new_articles(known, self.table("articles", batch_id))
-        # Ids in order of arrival, within the batch's own range: a replay gives the same article the same id.
-        numbered = load.number_rows(fresh, [F.col("arrival"), F.col("url_key")], "_n")
-        fresh = numbered.withColumn("article_id", F.lit(batch_id).cast("bigint") * F.lit(BATCH_IDS) + F.col("_n")).drop("_n")
+        known = cut(keyed.join(self.outlets().select("domain", "outlet_id"), "domain").withColumn("article_id", F.col("arrival")))
         names = self.places().select(F.col("code").alias("country"), F.col("name").alias("place_name"))
-        placed = fresh.select("article_id", F.posexplode("places").alias("place", "p")).select(
-            "article_id", F.col("place"), F.col("p.value").alias("country"), F.col("p.count").alias("mentions"))
-        who = fresh.select("article_id", F.posexplode("people").alias("place", "p")).select("article_id", "place", F.col("p.value").alias("name"))
+        placed = known.select("article_id", F.posexplode("places").alias("place", "p")).select("article_id", "place", F.col("p.value").alias("country"), F.col("p.count").alias("mentions"))
+        who = known.select("article_id", F.posexplode("people").alias("place", "p")).select("article_id", "place", F.col("p.value").alias("name"))
         about = counts.about_text(who, placed, names)
-        none = F.array().cast("array<string>")
         kept = F.transform(F.filter(F.slice("names", 1, counts.MAX_NAMES), lambda n: n["count"] >= counts.MIN_MENTIONS), lambda n: n["value"])
         used = self.tag_themes().agg(F.collect_set("theme").alias("_used"))  # one row: the tag settings
         themes = F.map_from_entries(F.filter(F.transform("themes", lambda t: F.struct(t["value"], t["count"])), lambda e: F.array_contains("_used", e["value"])))
-        rows = fresh.withColumn("_names", kept).join(about, "article_id", "left").join(F.broadcast(used)).select(
-            "article_id", "url_key", "url", "title", "domain", "outlet_id", "seen", "language", "image_url", F.coalesce("about", none).alias("about"),
+        return known.withColumn("_names", kept).join(about, "article_id", "left").join(F.broadcast(used)).select(
+            "arrival", "url_key", "url", "title", "domain", "outlet_id", "seen", "language", "image_url", F.coalesce("about", F.array().cast("array<string>")).alias("about"),
             F.col("_names").alias("names"), themes.alias("themes"), "source_url", F.col("names").alias("_all"), F.col("places").alias("_places"))
-        sink.write_batch(rows, f"{self.root}/staged", batch_id)
-        staged = self.spark.read.schema(f"{ARTICLES}, _all array<struct<value:string,count:bigint>>, _places array<struct<value:string,count:bigint>>").parquet(f"{self.root}/staged/batch={batch_id}")
-        sink.write_batch(staged.drop("_all", "_places"), f"{self.root}/articles", batch_id, day="seen")
-        self.enrich(staged, batch_id)
+
+    def staged(self, name: str, rows: DataFrame, schema: str, batch_id: int, done: bool) -> DataFrame:
+        """A batch's rows on disk, for all that hangs off them. Once what they lead to is committed, a replay reads them as they were. Folders of two
+        batches are used in turn."""
+        folder = f"{self.root}/staged/{name}-{batch_id % 2}"
+        if not done:
+            rows.write.mode("overwrite").parquet(folder)
+        return self.spark.read.schema(schema).parquet(folder)
+
+    def store(self, records: DataFrame, batch_id: int) -> None:
+        """One batch of article records: dedup, write, fill in what is stored, then everything that hangs off new and filled articles."""
+        rows = cut(self.described(records))
+        known = self.table("articles", batch_id)
+        fresh = load.new_articles(rows, known).drop("copies")
+        # Ids in order of arrival, within the batch's own range: a replay gives the same article the same id.
+        numbered = load.number_rows(fresh, [F.col("arrival"), F.col("url_key")], "_n")
+        numbered = numbered.withColumn("article_id", F.lit(batch_id).cast("bigint") * F.lit(BATCH_IDS) + F.col("_n"))
+        # A later record of the same batch fills in what the first one lacks, as one of a later batch does.
+        done = self.log("articles").state().batches.get("stream/rows", -1) >= batch_id
+        staged = self.staged("new", self.filled(numbered, rows), STAGED, batch_id, done)
+        self.put("articles", staged.select(*ARTICLE_COLUMNS), batch_id)
+        filled = self.fill(rows, batch_id)
+        self.enrich(staged, filled, batch_id)
+        if self.feed is not None:
+            self.feed.add(staged.select("article_id", "outlet_id", "seen", F.lit(None).cast("timestamp").alias("stated"), "title", F.concat_ws("; ", "about").alias("about")), batch_id)
         if self.pages is not None:
             self.date(staged, batch_id)
         if self.link:
             self.link_stories(staged, batch_id)
 
-    def enrich(self, staged: DataFrame, batch_id: int) -> None:
-        """Tags from themes, places and item mentions of the batch, against the dimensions as they are now."""
-        counted = staged.select("article_id", F.explode("themes").alias("theme", "n"))
-        sink.write_batch(tagging.tags_by_theme(counted, self.tag_themes()), f"{self.root}/tags", batch_id)
-        spots = staged.select("article_id", F.explode("_places").alias("p")).select("article_id", F.col("p.value").alias("country"), F.col("p.count").alias("mentions"))
-        sink.write_batch(spots, f"{self.root}/places", batch_id)
-        named = staged.select("article_id", "domain", F.explode("_all").alias("n")).select("article_id", "domain", F.col("n.value").alias("name"), F.col("n.count").alias("count"))
+    def filled(self, targets: DataFrame, rows: DataFrame) -> DataFrame:
+        """Articles filled in from a batch's records, with the names and places of the record that gave `about` and `names`."""
+        got = load.enrich_once(targets.drop("_all", "_places"), rows)
+        named = (F.size("about") > 0) | (F.size("names") > 0)
+        gave = rows.groupBy("url_key").agg(F.min_by(F.struct("_all", "_places"), F.when(named, F.col("arrival"))).alias("_gave"))
+        out = got.join(gave, "url_key", "left")
+        own = targets.select(F.col("url_key").alias("_key"), F.col("_all").alias("_own_all"), F.col("_places").alias("_own_places")) if "_all" in targets.columns else None
+        if own is None:
+            return out.select("*", F.col("_gave._all").alias("_all"), F.col("_gave._places").alias("_places")).drop("_gave")
+        out = out.join(own, F.col("url_key") == F.col("_key"), "left")
+        pick = lambda c: F.when(F.col("names_filled"), F.col(f"_gave.{c}")).otherwise(F.col(f"_own{c}")).alias(c)
+        return out.select(*ARTICLE_COLUMNS, pick("_all"), pick("_places"))
+
+    def fill(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Fill in stored articles that the batch has again: copy-on-write of just the files of the days they were seen on. Returns the filled rows."""
+        log = self.log("articles")
+        done = log.state().batches.get("fill", -1) >= batch_id
+        if done:
+            return self.staged("filled", rows, FILLED, batch_id, done)
+        lacking = ((F.size("about") == 0) & (F.size("names") == 0)) | (F.size(F.map_keys("themes")) == 0)
+        hit = self.table("articles", batch_id).where(lacking).join(rows.select("url_key").distinct(), "url_key", "left_semi")
+        got = self.staged("filled", self.filled(hit, rows).where("names_filled or themes_filled"), FILLED, batch_id, done)
+        days = {str(r[0]) for r in got.select("day").distinct().collect()}
+        worn = log.picked(keep=lambda p: p.batch < batch_id and p.part in days)
+        schema = self.spark.createDataFrame([], self.schema("articles")).columns
+        kept = log.read_pieces(self.schema("articles"), worn).join(got.select("article_id"), "article_id", "left_anti")
+        whole = kept.select(*schema).unionByName(got.select(*schema))
+        # the rows stay those of earlier batches: a replay must find them known
+        add = log.write(whole, F.col("day"), batch=max(p.batch for p in worn)) if worn else []
+        log.commit(add, worn, batches={"fill": batch_id})
+        return got
+
+    def enrich(self, staged: DataFrame, filled: DataFrame, batch_id: int) -> None:
+        """Places, item mentions and tags of new articles and of what was filled in, against the dimensions as they are now. Tags of new articles wait for
+        the date pass where there is one, as pages have section labels of their own."""
+        named = filled.where("names_filled")
+        both = staged.select("article_id", "domain", "_all", "_places").unionByName(named.select("article_id", "domain", "_all", "_places"))
+        spots = both.select("article_id", F.explode("_places").alias("p")).select("article_id", F.col("p.value").alias("country"), F.col("p.count").alias("mentions"))
+        self.put("places", spots.join(self.table("places", batch_id), ["article_id", "country"], "left_anti"), batch_id)
+        spelt = both.select("article_id", "domain", F.explode("_all").alias("n")).select("article_id", "domain", F.col("n.value").alias("name"), F.col("n.count").alias("count"))
         entities = self.entities()
-        found = mentions.match_names(named, mentions.name_index(entities), mentions.own_keys(self.outlets(), entities))
-        sink.write_batch(found, f"{self.root}/mentions", batch_id)
+        found = mentions.match_names(spelt, mentions.name_index(entities), mentions.own_keys(self.outlets(), entities))
+        self.put("mentions", found.join(self.table("mentions", batch_id), ["article_id", "qid"], "left_anti"), batch_id)
+        if self.pages is None:
+            self.tag(staged, self.spark.createDataFrame([], SECTIONS), filled, batch_id)
+
+    def tag(self, staged: DataFrame, labels: DataFrame, filled: DataFrame, batch_id: int) -> None:
+        """Tags of new articles, and of those whose themes were filled in, with the labels stored for them. Tags they have stay as they are."""
+        themed = filled.where("themes_filled")
+        themes = staged.select("article_id", "themes").unionByName(themed.select("article_id", "themes"))
+        counted = themes.select("article_id", F.explode("themes").alias("theme", "n"))
+        told = labels.unionByName(self.table("sections", batch_id).join(themed.select("article_id"), "article_id", "left_semi").select("article_id", "pos", "label"))
+        tags = tagging.retag(counted, told, self.tag_themes(), self.tag_sections())
+        self.put("tags", tags.join(self.table("tags", batch_id), ["article_id", "slug"], "left_anti"), batch_id)
 
     def link_stories(self, staged: DataFrame, batch_id: int) -> None:
-        """New articles against the pool of the last 48 hours; what has a story keeps it."""
-        newest = staged.agg(F.max("seen").alias("at")).first()["at"]
+        """New articles against the pool of the last 48 hours; what has a story keeps it. Only files of these days are read."""
+        newest = staged.agg(F.max("seen").cast("timestamp_ntz")).first()[0]
         if newest is None:
             return
-        since = F.col("seen") >= F.lit(newest - stories.POOL)
-        pool = self.table("articles").where((F.col("batch") <= batch_id) & since & (F.col("day") >= F.to_date(F.lit(newest - stories.POOL))))
+        first = newest - stories.POOL
+        since = F.col("seen") >= F.lit(first).cast("timestamp")
+        pool = self.table("articles", batch_id + 1, since=first.date()).where(since)
         given = self.table("stories", batch_id).select("article_id", "story_id")
         rows = pool.join(given, "article_id", "left").select("article_id", "outlet_id", "title", "names", "about", "seen", "story_id")
         linked = stories.link_stories(rows, place_names=self.places().select("name"))
-        sink.write_batch(linked, f"{self.root}/stories", batch_id)
+        self.put("stories", linked, batch_id)
 
     def date(self, staged: DataFrame, batch_id: int) -> None:
-        """The date pass over the pages read for this batch, in the same trigger. The pages' own section labels tag their articles."""
+        """The date pass over the pages read for this batch, in the same trigger. The pages' own section labels tag their articles, and dates found move them
+        in the feed."""
         got = cut(self.pages(staged.select("article_id", "url", "seen")))
         scanned = cut(pages.scan_pages(got.select("article_id", "html")))
         labels = cut(dates.section_labels(scanned).select("article_id", F.posexplode("sections").alias("pos", "label")))
-        sink.write_batch(labels, f"{self.root}/sections", batch_id)
-        by_theme = tagging.tags_by_theme(staged.select("article_id", F.explode("themes").alias("theme", "n")), self.tag_themes())
-        by_section = tagging.tags_by_section(labels, self.tag_sections())
-        sink.write_batch(tagging.combine(by_theme, by_section, tagging.sections_only(self.tag_sections(), self.tag_themes())), f"{self.root}/tags", batch_id)
+        self.put("sections", labels, batch_id)
+        self.tag(staged, labels, self.staged("filled", staged, FILLED, batch_id, True), batch_id)
         cands = dates.candidates(scanned, ["article_id"])
         chosen = dates.choose(cands, staged.select("article_id", "seen"), key="article_id")
         rows = got.select("article_id").join(chosen, "article_id", "left").withColumn("checked", F.current_timestamp())
-        sink.write_batch(rows.select("article_id", "at", "method", "conflict", "checked"), f"{self.root}/dates", batch_id)
+        self.put("dates", rows.select("article_id", "at", "method", "conflict", "checked"), batch_id)
+        if self.feed is not None:
+            mine = self.log("dates").read(self.schema("dates"), keep=lambda p: p.batch == batch_id).where("at is not null")
+            self.feed.redate(mine.join(staged.select("article_id", F.col("seen").alias("shown")), "article_id").select("article_id", "shown", F.col("at").alias("stated")), batch_id)
 
 
 def collect(spark: SparkSession, folder: str, job: CollectJob, checkpoint: str, files_per_batch: int = 2, zipped: bool = False) -> StreamingQuery:

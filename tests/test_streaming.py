@@ -152,3 +152,51 @@ def test_collect_reads_zips_and_tags_by_section(spark, job, tmp_path):
     assert {(r.article_id, r.slug) for r in job.table("tags").collect()} == {(got["https://alpha.ca/1?utm_source=x"], "tax"), (got["https://alpha.ca/2"], "labour")}
     assert [r.label for r in job.table("sections").collect()] == ["Education"]
     assert [r.file for r in job.table("unreadable").collect()] == ["20260923103000.gkg.csv.zip"]
+
+
+def test_repeats_fill_in_what_is_stored_once(spark, job, tmp_path):
+    from mediagraph.operators.feed import FeedFilters
+    from mediagraph.operators.feedstore import FeedStore
+
+    article = "article_id bigint, outlet_id bigint, seen timestamp, stated timestamp, title string, about string"
+    job.feed = FeedStore(spark, str(tmp_path / "feed"), spark.createDataFrame([], article).schema)
+    source = tmp_path / "in"
+    source.mkdir()
+    bare = gkg("https://beta.ca/9", "Budget reform passes the Senate", at="20260923100000")
+    slot_file(source, "20260923100000", [bare, A1])
+    run(spark, job, source, tmp_path)
+    before = {r.url_key: r for r in job.table("articles").collect()}
+    assert before["beta.ca/9"].names == [] and before["beta.ca/9"].themes == {}
+    files = {p.path for p in job.log("articles").picked()}
+    full = gkg("https://beta.ca/9", "Other headline", at="20260924101500", c8="TAX,1;TAX,2;TAX,3", c10="1##CA##;1##CA##", c14="Parent Co,1;Parent Co,2")
+    later = gkg("https://beta.ca/9", "Other headline", at="20260924103000", c8="OTHER,1", c10="1##FR##", c14="Alpha Inc,1;Alpha Inc,2")
+    slot_file(source, "20260924101500", [full])
+    slot_file(source, "20260924103000", [later])
+    run(spark, job, source, tmp_path)
+    got = {r.url_key: r for r in job.table("articles").collect()}
+    b = got["beta.ca/9"]
+    assert set(got) == set(before) and b.title == "Budget reform passes the Senate" and b.names == ["Parent Co"] and b.about == ["Canada"] and b.themes == {"TAX": 3} and b.batch == 0
+    assert got["alpha.ca/1"].names == before["alpha.ca/1"].names and files != {p.path for p in job.log("articles").picked()}
+    mine = lambda name, *c: [tuple(r[x] for x in c) for r in job.table(name).where(F.col("article_id") == b.article_id).collect()]
+    assert mine("places", "country", "mentions", "batch") == [("CA", 2, 1)] and mine("mentions", "qid", "batch") == [("Q12", 1)] and mine("tags", "slug", "batch") == [("tax", 1)]
+    # the feed shows the dates that were found
+    rows, info = job.feed.page(job.outlets().withColumn("country", F.lit("CA")), FeedFilters())
+    assert info["total"] == 2 and {r.article_id: r.stated for r in rows.collect()} == {b.article_id: None, got["alpha.ca/1"].article_id: datetime(2026, 9, 23, 9, 30)}
+
+
+def test_a_crash_between_tables_is_made_good(spark, job, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    slot_file(tmp_path / "in", "20260923100000", [A1, B1])
+    batch = lines.read_lines(spark, str(tmp_path / "in"))
+    with monkeypatch.context() as m:
+        m.setattr(jobs.CollectJob, "enrich", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            job(batch, 0)
+    assert job.table("articles").count() == 2 and job.table("places").count() == 0
+    job(batch, 0)
+    assert job.table("articles").count() == 2 and job.table("places").count() == 1 and job.table("tags").count() == 1
+    for k in range(1, 4):
+        job(batch, k)
+    job.compact_from = 2
+    job.tidy(4)
+    assert job.table("articles").count() == 2 and len(job.log("places").picked()) == 1
