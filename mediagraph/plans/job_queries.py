@@ -317,9 +317,9 @@ def _(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     kind = F.when(F.col("kind") == "5-LOW", "grant").when(F.col("kind") == "1-URGENT", "government_appropriation").otherwise("other")
-    w = Window.partitionBy("entity_id").orderBy(F.desc("year"), "kind_place", "label", "record_id")
-    rows = t.funding.withColumn("year", ids.period_year(F.col("period"))).withColumn("kind_place", ids.kind_position(kind))
-    return rows.select("record_id", F.row_number().over(w).alias("nth"))
+    alone = t.funding.select(F.col("entity_id").alias("root"), F.col("entity_id").alias("node"), F.lit(1).alias("place")).distinct()
+    w = Window.partitionBy("root").orderBy(*funding.order_keys(), "record_id")
+    return funding.panel(t.funding.withColumn("kind", kind), alone).select("record_id", F.row_number().over(w).alias("nth"))
 
 
 @query("funding_nonprofit_years", ("b_funding",), """, y AS (SELECT *, CAST(regexp_extract(period, '([0-9]{4})', 1) AS INT) AS year, row_number() OVER (PARTITION BY entity_id ORDER BY CAST(regexp_extract(period, '([0-9]{4})', 1) AS INT) DESC, record_id) AS n FROM b_funding)

@@ -25,7 +25,7 @@ def gkg(url, title="Steel tariffs &amp;amp; talks", at="20260923201500", kind="1
 LINES = [
     gkg("https://www.cbc.ca/news/1", c8="TRADE_TARIFF,11;WATER_SUPPLY,64;TRADE_TARIFF,70;TRADE_TARIFF,212;not a theme,3;;",
         c10="1#Canada#CA#a#b#1#2#3#9;1#Canada#CA#####10;1#Canada#CA#####11;1#US#US#####12;1#US#US#####13;1#France#FR#####14",
-        c12="mark carney,10;Mark Carney,50;Mark Carney,90;Lone,1;Lone,2", c14="bce inc,1;Bce Inc,2;Mark Carney,3", c18="https://img.ca/a.jpg"),
+        c12="ines okoro,10;Ines Okoro,50;Ines Okoro,90;Lone,1;Lone,2", c14="hollin rail,1;Hollin Rail,2;Ines Okoro,3", c18="https://img.ca/a.jpg"),
     gkg("https://fakecbc.ca/news/2"), gkg("https://cbc.ca/3", kind="2"), gkg("not a url"), gkg("https://cbc.ca/4", title=""), gkg("https://cbc.ca/5", at="2026"),
     "short\tline", gkg("https://ici.radio-canada.ca/6", title="Grève", c25="srclc:fra;eng:GT", c18="nope"),
 ]
@@ -50,8 +50,8 @@ def test_lines(spark, outlets, tmp_path):
     assert (a.title, a.domain, a.seen, a.language, a.image_url) == ("Steel tariffs & talks", "cbc.ca", datetime(2026, 9, 23, 20, 15), "en", "https://img.ca/a.jpg")
     assert pairs(a.themes) == [("TRADE_TARIFF", 3), ("WATER_SUPPLY", 1)]
     assert pairs(a.places) == [("CA", 3), ("US", 2)]
-    assert pairs(a.people) == [("Mark Carney", 3)]
-    assert pairs(a.names) == [("mark carney", 3), ("Lone", 2), ("bce inc", 2), ("Mark Carney", 1)]
+    assert pairs(a.people) == [("Ines Okoro", 3)]
+    assert pairs(a.names) == [("ines okoro", 3), ("Lone", 2), ("hollin rail", 2), ("Ines Okoro", 1)]
     assert (b.domain, b.language, b.image_url, b.title) == ("cbc.ca", "fr", None, "Grève")
 
 
