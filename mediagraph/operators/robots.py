@@ -47,23 +47,44 @@ def path_and_query(c: Column) -> Column:
     return F.concat(F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
+def wild(pattern: Column) -> Column:
+    """Whether a pattern is more than a prefix."""
+    return pattern.contains("*") | pattern.endswith("$")
+
+
+def prefix_hits(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, _path, best) from plain prefixes: the rules are a table keyed by (host, prefix), and a path asks for its beginnings of the lengths that
+    its host's rules have. Nothing gathers a host's rules: only their distinct lengths, which paths bound."""
+    table = rules.groupBy("host", F.col("pattern").alias("_prefix")).agg(F.max("allow").alias("allow"))
+    lengths = table.groupBy("host").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    asked = paths.join(lengths, "host").select("host", "_path", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_n"))
+    asked = asked.withColumn("_prefix", F.substr("_path", F.lit(1), F.col("_n")))
+    return asked.join(table, ["host", "_prefix"]).groupBy("host", "_path").agg(F.max(F.struct(F.col("_n").alias("length"), "allow")).alias("best"))
+
+
+def wild_hits(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, _path, best) from patterns with wildcards or an anchor, which are few: those of a host are tried one by one on each of its paths."""
+    packed = rules.groupBy("host").agg(F.collect_list(F.struct("length", "allow", as_regex(F.col("pattern")).alias("regex"))).alias("_rules"))
+    hits = F.filter("_rules", lambda r: F.rlike(F.col("_path"), r["regex"]))
+    best = F.array_max(F.transform(hits, lambda r: F.struct(r["length"].alias("length"), r["allow"].alias("allow"))))
+    return paths.join(packed, "host").select("host", "_path", best.alias("best")).where(F.col("best").isNotNull())
+
+
 def verdicts(urls: DataFrame, rules: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
     """URLs with a `verdict`: the longest matching rule wins, Allow on ties. `fetches` (host, status) says how reading
     the robots file went: 4xx means no rules, 5xx or no answer means unavailable.
 
-    The rules of a host are packed in one array first, so a host with very many URLs is not multiplied by its rules
-    and nothing is grouped by URL.
+    Each distinct path of a host is judged once, and only paths that some rule matches are joined back.
     """
-    packed = rules.groupBy("host").agg(F.collect_list(F.struct(
-        F.col("length"), F.col("allow"), as_regex(F.col("pattern")).alias("regex"))).alias("_rules"))
     rows = urls.withColumn("host", url.host_of(F.col("url"))).withColumn("_path", path_and_query(F.col("url")))
-    rows = rows.join(packed, "host", "left")
-    hits = F.filter("_rules", lambda r: F.rlike(F.col("_path"), r["regex"]))
-    best = F.array_max(F.transform(hits, lambda r: F.struct(r["length"].alias("length"), r["allow"].alias("allow"))))
-    allowed = (F.col("_path") == "/robots.txt") | F.coalesce(best["allow"], F.lit(True))
+    paths = rows.select("host", "_path").distinct()
+    best = prefix_hits(paths, rules.where(~wild(F.col("pattern")))).unionByName(wild_hits(paths, rules.where(wild(F.col("pattern")))))
+    barred = best.groupBy("host", "_path").agg(F.max("best").alias("_best")).where(~F.col("_best.allow")).select("host", "_path", F.lit(True).alias("_barred"))
+    rows = rows.join(barred, ["host", "_path"], "left")
+    allowed = (F.col("_path") == "/robots.txt") | F.col("_barred").isNull()
     verdict = F.when(allowed, "allowed").otherwise("disallowed")
     if fetches is not None:
         rows = rows.join(fetches.select("host", "status"), "host", "left")
         verdict = (F.when(F.col("status").isNull() | (F.col("status") >= 500), "unavailable")
                    .when(F.col("status").between(400, 499), "allowed").otherwise(verdict))
-    return rows.withColumn("verdict", verdict).drop("_rules", "_path")
+    return rows.withColumn("verdict", verdict).drop("_barred", "_path")

@@ -148,3 +148,30 @@ def test_host_backoff(spark):
     df = spark.createDataFrame(rows, "article_id bigint, url string, turn int, verdict string, status int, at timestamp, method string, conflict boolean, attempts int")
     got = {r.article_id: (r.outcome, r.attempts) for r in dates.attempt_state(df).collect()}
     assert got == {1: ("found", 1), 2: ("failed", 1), 3: ("skipped", 0), 4: ("skipped", 1), 5: ("disallowed", 2), 6: ("failed", 2), 7: ("conflict", 2)}
+
+
+def test_many_crawl_rules_of_one_host(spark):
+    import random
+    import re
+
+    rng = random.Random(8)
+    part = lambda: "/" + rng.choice("abc") + str(rng.randrange(30))
+    rules = [("a.ca", "".join(part() for _ in range(rng.randrange(1, 4))) + rng.choice(["", "", "", "", "", "/", "$", "*x"]), rng.random() < 0.4) for _ in range(600)]
+    rules += [("a.ca", "/a1", True), ("a.ca", "/a1", False), ("b.ca", "/", False), ("b.ca", "/*.pdf$", True), ("a.ca", "/é(1)", False)]
+    paths = ["".join(part() for _ in range(rng.randrange(0, 5))) + rng.choice(["", "/", "x", "?q=1"]) for _ in range(400)] + ["/robots.txt", "/é(1)2", "/A1"]
+    urls = [f"https://{h}{p}" for p in paths for h in ("a.ca", "b.ca", "c.ca")]
+
+    def plain(host, path):
+        best = (0, True)
+        for h, pattern, allow in rules:
+            regex = ".*".join(re.escape(x) for x in pattern.removesuffix("$").split("*")) + ("$" if pattern.endswith("$") else "")
+            if h == host and re.match(regex, path or "/"):
+                best = max(best, (len(pattern), allow))
+        return "allowed" if best[1] or path == "/robots.txt" else "disallowed"
+
+    table = spark.createDataFrame([(h, p, a, len(p)) for h, p, a in rules], "host string, pattern string, allow boolean, length int")
+    got = robots.verdicts(spark.createDataFrame([(u,) for u in urls], "url string").repartition(3), table).collect()
+    assert len(got) == len(urls) and {r.verdict for r in got} == {"allowed", "disallowed"}
+    for r in got:
+        host, path = re.match("https://([^/?]*)(.*)", r.url).groups()
+        assert r.verdict == plain(host, path if path.startswith("/") else "/" + path), r.url
