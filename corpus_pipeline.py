@@ -11,20 +11,27 @@ from pyspark.sql import functions as F
 from mediagraph.llm import language_id, ngram_jaccard, packing, quality_rules, substring_dedup
 from mediagraph.llm.tables import read
 from mediagraph.llm.wanted import split
+from mediagraph.llm.words import free_name
 from mediagraph.session import checkpoint_dir, cut
 
 
+def only(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(f"`{c}`") for c in columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the learned rules keep."""
+    """Rows that the learned rules keep. Null and empty texts go (too few words); repeated rows go or stay together."""
     rules = quality_rules.fit_rules(docs, read(spark, sf_dir, "labels"))
-    return quality_rules.judged(docs, rules).where("kept").select(*docs.columns)
+    rows = quality_rules.judged(docs, rules)
+    return only(rows.where(F.col(f"`{rows.columns[-1]}`")), docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that are in one of the languages; `lang` becomes the predicted one."""
+    """Rows that are in one of the languages; `lang` becomes the predicted one. Texts without a letter go; repeated rows go or stay together."""
     models = language_id.fit_models(docs)
-    rows = language_id.with_language(docs, models).where("not language.rejected")
-    return rows.withColumn("lang", F.col("language.lang_pred")).select(*docs.columns)
+    rows = language_id.with_language(docs, models)
+    told = F.col(f"`{rows.columns[-1]}`")
+    return only(rows.where(~told["rejected"]).withColumn("lang", told["lang_pred"]), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +44,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     told = found.join(first, "component").select(F.col("doc").alias("doc_id"), "th", "rows", stays.alias("stays"))
     changes = cut(told.where("not stays or rows > 1"))
     some, rest = split(docs, "doc_id", changes.select("doc_id"))
-    some = some.withColumn("th", F.xxhash64("text")).join(changes.where("not stays"), ["doc_id", "th"], "left_anti")
-    again = changes.where("stays").select("doc_id", "th")
-    one = some.join(again, ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return some.join(again, ["doc_id", "th"], "left_anti").select(*docs.columns).unionByName(one).unionByName(rest)
+    th, row = free_name(docs.columns, "th"), free_name(docs.columns, "row")
+    changes, key = changes.withColumnRenamed("th", th), ["doc_id", th]
+    some = some.withColumn(th, F.xxhash64("text")).join(changes.where("not stays").select(*key), key, "left_anti")
+    again = changes.where("stays").select(*key)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = some.join(again, key, "left_semi").groupBy(*key).agg(F.min(whole).alias(row)).select(f"{row}.*")
+    return only(some.join(again, key, "left_anti"), docs.columns).unionByName(one).unionByName(rest)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand earlier; those that lose nothing stay as they are."""
+    """Texts without the passages that stand earlier; those that lose nothing stay as they are, null and empty ones included."""
     rows = substring_dedup.without_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    _, removed, kept = (F.col(f"`{c}`") for c in rows.columns[len(docs.columns) :])
+    text = F.when(removed > 0, kept).otherwise(F.col("text"))
+    return only(rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")), docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

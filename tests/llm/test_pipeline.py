@@ -129,3 +129,25 @@ def test_queries_are_registered_and_cover_their_tables(spark):
         if name != "op10_packing":
             rows = spark.read.parquet(f"{FOLDER}/{table.get(name, 'documents')}.parquet").count()
             assert (name, entry.queries()[name](spark, str(FOLDER)).count()) == (name, rows)
+
+
+def test_columns_called_as_the_stages_own(spark, tables):
+    from pyspark.sql import functions as F
+
+    folder, _ = tables
+    extra = {"kept": F.lit(False), "stats": F.lit(1), "language": F.lit("x"), "n_removed": F.lit(7), "kept_text": F.lit("k"), "th": F.lit(5), "row": F.lit("r"), "stays": F.lit(False)}
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = plain.withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        want, got = stage(spark, plain, folder), stage(spark, docs, folder)
+        assert got.columns == docs.columns
+        key = lambda df: sorted(map(str, df.select(*plain.columns).collect()))
+        assert key(got) == key(want), name
+        assert [tuple(r) for r in got.select(*extra).distinct().collect()] == [(False, 1, "x", 7, "k", 5, "r", False)]
+
+
+def test_empty_table(spark, tables):
+    folder, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs, folder).count() == 0
