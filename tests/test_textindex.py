@@ -26,10 +26,12 @@ def world(spark, tmp_path_factory):
     docs = spark.createDataFrame(rows, "doc_id bigint, title string, about string").coalesce(2).cache()
     index = TextIndex(spark, f"file://{tmp_path_factory.mktemp('ix')}/i")
     old, textindex.WIDTH = textindex.WIDTH, 16
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that even these few rows make several files
     for b in range(3):
         index.add(docs.where(F.col("doc_id") % 3 == b), b)
     yield docs, index
     textindex.WIDTH = old
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_scores_are_those_of_a_scan_before_and_after_a_merge(spark, world):
