@@ -76,7 +76,8 @@ def in_worker(key: str, make):
 
 
 def give_back() -> None:
-    """Return freed memory to the system: a Python worker waits beside the JVM between tasks."""
+    """Return freed memory to the system, Arrow's pool first: a Python worker waits beside the JVM between tasks."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # the C library may not offer it
         ctypes.CDLL(None).malloc_trim(0)
 
