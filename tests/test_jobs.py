@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from mediagraph.functions import fixed
 from mediagraph.operators import counts, coverage, dates, load, mentions, robots, tagging
 from mediagraph.sources import pages
 from tests.test_sources import PAGE
@@ -175,3 +176,11 @@ def test_many_crawl_rules_of_one_host(spark):
     for r in got:
         host, path = re.match("https://([^/?]*)(.*)", r.url).groups()
         assert r.verdict == plain(host, path if path.startswith("/") else "/" + path), r.url
+
+
+def test_audit_of_outlets_with_conflicts_only(spark):
+    rows = [("a.ca", SEEN, SEEN, "meta pubdate"), ("a.ca", SEEN, None, fixed.ZONE_CONFLICT), ("b.ca", SEEN, None, fixed.ZONE_CONFLICT)]
+    df = spark.createDataFrame(rows, "domain string, seen timestamp, stated timestamp, date_method string")
+    read = lambda **more: [(r.domain, r.dated, r.zone_conflicts, r.place) for r in dates.audit(df, SEEN, **more).orderBy("place").collect()]
+    assert read() == [("a.ca", 1, 1, 1), ("b.ca", 0, 1, 2)]
+    assert read(undated=False) == [("a.ca", 1, 1, 1)]
