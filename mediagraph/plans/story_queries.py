@@ -79,7 +79,7 @@ PAIRS = WEIGHTS + """, vec AS (SELECT w.article_id, w.term, t.weight, t.df FROM
 def pairs(t: Tables) -> DataFrame:
     rows = t.headlines
     n = stories.pool_size(rows)
-    items = rows.select("article_id", "seen", F.lit(None).cast("bigint").alias("given")).join(stories.vectors(stories.headline_terms(rows), n), "article_id")
+    items = rows.select("article_id", "seen", F.lit(None).cast("bigint").alias("given")).join(stories.vectors(stories.headline_terms(rows).drop("word"), n), "article_id")
     signatures = cut(stories.signatures_of(items.withColumn("start", F.lit(None).cast("timestamp"))))
     found = stories.similar_signatures(signatures, n)
     lead = lambda side: signatures.select(F.col("sig").alias(f"sig_{side}"), F.col("lead").alias(f"_{side}"))
