@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from mediagraph.functions import text as tx
 from mediagraph.operators import search, textindex
 from mediagraph.operators.textindex import TextIndex
 
@@ -71,3 +72,15 @@ def test_only_files_and_pages_of_the_terms_are_read(spark, world):
     plan = index._blocks(search.SearchTerms.parse("budget zeb")).select("term", "n")._jdf.queryExecution().toString()
     assert "StringStartsWith(term,zeb)" in plan and "EqualTo(term,budget)" in plan
     assert "entries" not in plan.split("ReadSchema")[-1]
+
+
+def test_an_index_is_built_with_one_shuffle_of_blocks(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "the same words of every text", "the") for i in range(300)] + [(3, "the same words of every text", "the")], "doc_id bigint, title string, about string").coalesce(1)
+    made = textindex.blocks(docs)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan  # no row of its own for a word of a text
+    index = TextIndex(spark, f"file://{tmp_path}/i")
+    index.add(docs.repartition(3), 0)
+    got = {(r.term, r.doc_id, r.field): r.freq for r in index.postings().collect()}
+    assert len(got) == 300 * 7 and got["the", 3, "title"] == 2 and got["the", 4, "about"] == 1
+    assert index.log.read(textindex.ROWS).groupBy("term", "span").count().where("count > 1").isEmpty()
