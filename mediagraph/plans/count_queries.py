@@ -9,6 +9,7 @@ from mediagraph.functions import ids
 from mediagraph.operators import counts, search, tagging
 from mediagraph.plans.bindings import Tables
 from mediagraph.plans.registry import query
+from mediagraph.session import cut
 
 M = ("b_mentions",)
 
@@ -162,10 +163,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("search_ranked_from_postings", ("b_docs",), RANK + "SELECT doc_id, round(score, 5) AS score FROM scored WHERE k = 3")
 def _(t: Tables) -> DataFrame:
-    from mediagraph.functions import text as tx
-
-    lengths = t.docs.select("doc_id", (F.size(tx.index_tokens(F.col("title"))) + F.size(tx.index_tokens(F.col("about")))).cast("double").alias("doc_len"))
-    return search.rank_postings(search.build_postings(t.docs), lengths, QUERY).select("doc_id", F.round("score", 5).alias("score"))
+    return search.rank_postings(search.build_postings(t.docs), cut(search.doc_lengths(t.docs)), QUERY).select("doc_id", F.round("score", 5).alias("score"))
 
 
 @query("search_best_page", ("b_docs",), RANK + "SELECT s.doc_id, round(score, 5) AS score, d.seen FROM scored s JOIN b_docs d ON d.doc_id = s.doc_id WHERE k = 3 ORDER BY round(score, 5) DESC, d.seen DESC, s.doc_id DESC LIMIT 25")

@@ -74,6 +74,17 @@ def test_only_files_and_pages_of_the_terms_are_read(spark, world):
     assert "entries" not in plan.split("ReadSchema")[-1]
 
 
+def test_words_are_counted_in_place(spark):
+    odd = ["Réforme  l'é\u0301tat", "Straße ﬁx_it a_b", "x\u00a0y\u2003z\x1cw", "İstanbul ΣΑΣ ²½ Ⅷ", "中文 テスト ｆｕｌｌ", "don’t stop—now", "a " * 300, "e\u0301" * 40 + " " + "q" * 100, "", None, "🙂🙂 a🙂b", "Ünïcode ÀÉÎ ǅ \u0301 \u00b4x"]
+    docs = spark.createDataFrame([(i if i % 5 else None, t, odd[-i - 1]) for i, t in enumerate(odd)] + [(7, "twice", None), (7, "twice", None)], "doc_id bigint, title string, about string")
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), tx.index_tokens(F.col(f)).alias("words")) for f in ("title", "about")])
+    rows = docs.select("doc_id", F.inline(fields)).select("doc_id", "field", F.size("words").alias("field_len"), F.explode("words").alias("term"))
+    want = sorted(map(repr, rows.groupBy("term", "doc_id", "field", F.col("field_len").cast("bigint").alias("field_len")).agg(F.count("*").alias("freq")).select("term", "doc_id", "field", "field_len", "freq").collect()))
+    assert sorted(map(repr, search.build_postings(docs).select("term", "doc_id", "field", "field_len", "freq").collect())) == want
+    sizes = lambda c: F.coalesce(F.size(tx.index_tokens(F.col(c))), F.lit(0))
+    assert sorted(map(repr, search.doc_lengths(docs).collect())) == sorted(map(repr, docs.select("doc_id", (sizes("title") + sizes("about")).cast("double").alias("doc_len")).collect()))
+
+
 def test_an_index_is_built_with_one_shuffle_of_blocks(spark, tmp_path):
     docs = spark.createDataFrame([(i, "the same words of every text", "the") for i in range(300)] + [(3, "the same words of every text", "the")], "doc_id bigint, title string, about string").coalesce(1)
     made = textindex.blocks(docs)
