@@ -9,7 +9,7 @@ from mediagraph.functions import ids
 from mediagraph.operators import counts, search, tagging
 from mediagraph.plans.bindings import Tables
 from mediagraph.plans.registry import query
-from mediagraph.session import cut
+from mediagraph.session import cut, spread
 
 M = ("b_mentions",)
 
@@ -45,10 +45,16 @@ NAMED = """, spelt AS (SELECT article_id, CAST(pos AS BIGINT) * 1000000000 + par
 , nc AS (SELECT article_id, arg_min(name, pos) AS name, count(*) AS n FROM spelt GROUP BY article_id, lower(name))"""
 
 
-def spelt(t: Tables) -> DataFrame:
+def dealt_mentions(t: Tables) -> DataFrame:
+    """The mentions of an article in one task, and no more of them in a task than it can sort at hand."""
+    return spread(t.mentions, t.read("lineitem").count(), "article_id")
+
+
+def spelt(t: Tables, mentions: DataFrame | None = None) -> DataFrame:
     n, p = F.replace("name", F.lit("#"), F.lit(" ")), F.col("part_id") % 3
-    return t.mentions.select("article_id", (F.col("pos").cast("bigint") * 1_000_000_000 + F.col("part_id")).alias("pos"),
-                             F.when(p == 0, F.upper(n)).when(p == 1, F.lower(n)).otherwise(n).alias("name"))
+    rows = t.mentions if mentions is None else mentions
+    return rows.select("article_id", (F.col("pos").cast("bigint") * 1_000_000_000 + F.col("part_id")).alias("pos"),
+                       F.when(p == 0, F.upper(n)).when(p == 1, F.lower(n)).otherwise(n).alias("name"))
 
 
 @query("mention_name_counts", M, NAMED + "SELECT article_id, name, n FROM nc")
@@ -70,8 +76,9 @@ ALL_NAMES = """, orgs AS (SELECT article_id, replace(name, '#', ' ') AS name, co
 
 
 def every_name(t: Tables) -> DataFrame:
-    orgs = t.mentions.where(F.col("pos") % 2 == 0).groupBy("article_id", F.replace("name", F.lit("#"), F.lit(" ")).alias("name")).agg(F.count("*").alias("n"))
-    return counts.all_names(orgs, counts.name_counts(spelt(t)))
+    mentions = dealt_mentions(t)
+    orgs = mentions.where(F.col("pos") % 2 == 0).groupBy("article_id", F.replace("name", F.lit("#"), F.lit(" ")).alias("name")).agg(F.count("*").alias("n"))
+    return counts.all_names(orgs, counts.name_counts(spelt(t, mentions)))
 
 
 @query("mention_all_names", M, NAMED + ALL_NAMES + "SELECT * FROM alln")

@@ -42,3 +42,14 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert 0 < entry.entry(spark).count() <= 50
+
+
+@pytest.mark.parametrize("name", ["mention_all_names", "article_names_text"])
+def test_mentions_are_dealt_over_as_many_tasks_as_their_rows_need(spark, monkeypatch, name):
+    from mediagraph import session
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 200)
+    tasks = -(-spark.read.parquet(str(FOLDER / "lineitem.parquet")).count() // 200)
+    plan = QUERIES[name](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(article_id" in line and f", {tasks}), REPARTITION_BY_NUM" in line]
+    assert len(dealt) >= 2
