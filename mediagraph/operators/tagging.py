@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediagraph.functions import text as tx
+from mediagraph.session import spread
 
 
 def tags_by_theme(counts: DataFrame, tag_themes: DataFrame) -> DataFrame:
@@ -26,15 +27,17 @@ def tags_by_theme(counts: DataFrame, tag_themes: DataFrame) -> DataFrame:
         "article_id", "slug", F.concat(F.lit("GDELT themes: "), shown).alias("evidence"))
 
 
-def tags_by_section(labels: DataFrame, tag_sections: DataFrame) -> DataFrame:
+def tags_by_section(labels: DataFrame, tag_sections: DataFrame, rows: int | None = None) -> DataFrame:
     """(article_id, slug, evidence) from labels (article_id, pos, label): any part of a label equal to a section; the
-    evidence is the first section in the tag's order, in the spelling first met."""
+    evidence is the first section in the tag's order, in the spelling first met. `rows` tells about how many labels there are."""
     # Outlets use the same labels over and over: each distinct one is taken apart and folded once, and only those that name
     # a section of some tag go on to meet the articles.
     parts = labels.select("label").distinct().select("label", F.posexplode(tx.section_parts(F.col("label"))).alias("part_no", "part"))
     keyed = parts.select("label", "part_no", F.trim("part").alias("part"), tx.normalize_text(F.col("part")).alias("section"))
     named = keyed.join(tag_sections.withColumnRenamed("pos", "section_no"), "section")
-    hits = labels.join(named, "label").groupBy("article_id", "slug", "section", "section_no").agg(F.min_by("part", F.struct("pos", "part_no")).alias("part"))
+    found = labels.join(named, "label")
+    found = found if rows is None else spread(found, rows, "article_id")
+    hits = found.groupBy("article_id", "slug", "section", "section_no").agg(F.min_by("part", F.struct("pos", "part_no")).alias("part"))
     return hits.groupBy("article_id", "slug").agg(F.concat(F.lit("Outlet's section: "), F.min_by("part", "section_no")).alias("evidence"))
 
 
@@ -51,9 +54,9 @@ def sections_only(tag_sections: DataFrame, tag_themes: DataFrame) -> DataFrame:
     return tag_sections.select("slug").distinct().join(tag_themes.select("slug"), "slug", "left_anti")
 
 
-def retag(counts: DataFrame, labels: DataFrame, tag_themes: DataFrame, tag_sections: DataFrame) -> DataFrame:
+def retag(counts: DataFrame, labels: DataFrame, tag_themes: DataFrame, tag_sections: DataFrame, rows: int | None = None) -> DataFrame:
     """Every article's tags, recomputed."""
-    return combine(tags_by_theme(counts, tag_themes), tags_by_section(labels, tag_sections), sections_only(tag_sections, tag_themes))
+    return combine(tags_by_theme(counts, tag_themes), tags_by_section(labels, tag_sections, rows), sections_only(tag_sections, tag_themes))
 
 
 def tag_dimensions(spark, tags: list[dict]) -> tuple[DataFrame, DataFrame]:

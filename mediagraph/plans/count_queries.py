@@ -141,7 +141,7 @@ def _(t: Tables) -> DataFrame:
 @query("tags_retag_all", M, TAGS + """SELECT * FROM by_theme UNION ALL SELECT * FROM by_section s WHERE slug = 'colour' OR article_id NOT IN (SELECT article_id FROM by_theme)""")
 def _(t: Tables) -> DataFrame:
     themes, sections = tag_dims(t)
-    return tagging.retag(counts.theme_counts(t.mentions), labels(t), themes, sections)
+    return tagging.retag(counts.theme_counts(dealt_mentions(t)), labels(t), themes, sections, t.read("lineitem").count())
 
 
 # ---------------------------------------------------------------- search

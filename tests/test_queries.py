@@ -44,7 +44,7 @@ def test_entry(spark):
     assert 0 < entry.entry(spark).count() <= 50
 
 
-@pytest.mark.parametrize("name", ["mention_all_names", "article_names_text"])
+@pytest.mark.parametrize("name", ["mention_all_names", "article_names_text", "tags_retag_all"])
 def test_mentions_are_dealt_over_as_many_tasks_as_their_rows_need(spark, monkeypatch, name):
     from mediagraph import session
 
