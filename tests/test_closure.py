@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediagraph.operators import graph
-from mediagraph.operators.closure import ROWS, Closure, Ownership, steps_of
+from mediagraph.operators.closure import ROWS, Closure, Ownership, beginnings, extended, steps_of
+from mediagraph.session import cut
 
 EDGES = "edge_no bigint, child bigint, parent bigint, relation string, share double, source string"
 
@@ -63,3 +64,29 @@ def test_a_chain_longer_than_ten(spark, tmp_path):
     assert {r.node for r in own.below(spark.createDataFrame([(3,)], "root bigint"), include_roots=False).collect()} == {0, 1, 2}
     limited = graph.reach(frame(spark, edges), roots, max_depth=10)
     assert {r.node: r.depth for r in limited.where("root = 0").collect()} == {i: i for i in range(11)}
+
+
+def test_holds_the_pairs_of_the_roots_asked_for(spark, tmp_path):
+    """Not those of all nodes; roots asked for later are added, and changes reach all that are held."""
+    edges = {i: (i, i // 2, "owned_by") for i in range(1, 64)}
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(65)], "entity_id bigint, name string").coalesce(1)
+    table = Closure(spark, f"file://{tmp_path}/c")
+    asked = lambda *x: spark.createDataFrame([(i,) for i in x], "root bigint")
+    steps = lambda: steps_of(frame(spark, edges), names, True)
+    assert table.refresh(steps(), asked(40, 41)) and not table.refresh(steps(), asked(41))
+    assert {r.root for r in table.pairs().collect()} == {40, 41}
+    assert table.refresh(steps(), asked(9, 40))
+    assert as_rows(table.pairs()) == as_rows(graph.walk(frame(spark, edges), names, asked(9, 40, 41)))
+    del edges[10]
+    edges[70], edges[71] = (10, 7, "owned_by"), (9, 62, "parent_org")
+    assert table.refresh(steps(), asked(33))
+    assert as_rows(table.pairs()) == as_rows(graph.walk(frame(spark, edges), names, asked(9, 33, 40, 41)))
+
+
+def test_paths_are_not_sent_through_the_driver(spark, tmp_path):
+    """However small they look as files."""
+    edges = frame(spark, {i: (i, i // 2, "owned_by") for i in range(1, 20)})
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(20)], "entity_id bigint, name string")
+    steps = cut(steps_of(edges, names, True))
+    plan = extended(cut(beginnings(steps.select("at"))), steps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
