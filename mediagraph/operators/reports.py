@@ -17,10 +17,10 @@ def coverage_by_owner(edges: DataFrame, entities: DataFrame, outlets: DataFrame,
     group, however many outlets it has, is gathered in one row.
     """
     groups = graph.owner_groups(edges, entities, outlets.where(F.col("entity_id").isNotNull()).select(F.col("entity_id").alias("base")))
-    rows = counts.join(outlets, "outlet_id").join(groups.withColumnRenamed("base", "entity_id"), "entity_id", "left")
+    rows = counts.hint("merge").join(outlets, "outlet_id").hint("merge").join(groups.withColumnRenamed("base", "entity_id"), "entity_id", "left")
     rows = rows.withColumn("matched", F.col("entity_id").isNotNull()).withColumn("_group", F.xxhash64("owners", "matched"))
     sums = rows.groupBy("_group").agg(F.sum("articles").alias("group_articles"))
-    return rows.join(sums, "_group").select("owners", "matched", "group_articles", "outlet_id", "display_name", "articles")
+    return rows.hint("merge").join(sums, "_group").select("owners", "matched", "group_articles", "outlet_id", "display_name", "articles")
 
 
 def owner_topics(edges: DataFrame, owner: DataFrame, outlets: DataFrame, articles: DataFrame, most: int, below: DataFrame | None = None) -> DataFrame:

@@ -131,3 +131,12 @@ def test_hand_made_entries(spark):
     assert {(r.domain, r.qid, r.match_status, r.ownership_checked) for r in pinned.collect()} == {("a.ca", "Q1", "auto", at), ("b.ca", "Q9", "manual", None)}
     assert {r.match_status for r in ownership.confirm(outlets).collect()} == {"confirmed", "unmatched"}
     assert {r.match_status for r in ownership.confirm(outlets, ["b.ca"]).collect()} == {"auto", "unmatched"}
+
+
+def test_groups_and_summary_lines_are_not_sent_through_the_driver(spark, world):
+    edges, entities = world
+    bases = spark.createDataFrame([(i,) for i in NAMES], "base bigint")
+    outlets = bases.select(F.col("base").alias("outlet_id"), F.col("base").alias("entity_id"))
+    for rows in (graph.first_owner(edges, entities), graph.owner_groups(edges, entities, bases), graph.summary_lines(edges, entities, outlets)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
