@@ -6,6 +6,7 @@ import itertools
 import random
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,24 @@ def test_search_finds_korean_titles(spark):
     rows = spark.createDataFrame([(1, "한국 경제 뉴스"), (2, "Café du coin")], "doc_id int, title string")
     found = lambda q: sorted(r.doc_id for r in rows.where(SearchTerms.parse(q).matches(F.col("title"))).collect())
     assert (found("한국"), found("경제"), found("cafe"), found(" ".join(["cafe"] * 25 + ["absent", "coin"]))) == ([1], [1], [2], [])
+
+
+def test_days_are_spaced_side_by_side_and_across_batches(spark, world):
+    """Many days at once give what each gives alone, wherever Arrow's batches end."""
+    rnd = random.Random(3)
+    days = [([rnd.choice([0, 0, 1, 2, 3]) for _ in range(n)], [NOW - timedelta(minutes=m) for m in sorted(rnd.randrange(90) for _ in range(n))]) for n in (1, 2, 50, 7, 100, 33)]
+    group = [k for k, (outlets, _) in enumerate(days) for _ in outlets]
+    at = [int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1)) for _, times in days for t in times]
+    got = feed.spread_orders(np.array(group), np.array([o for outlets, _ in days for o in outlets]), np.array(at)).tolist()
+    want, first = [], 0
+    for outlets, times in days:
+        want += naive_spread([(first + i, o, t) for i, (o, t) in enumerate(zip(outlets, times, strict=True))])
+        first += len(outlets)
+    assert got == want
+    rows = feed.capped(feed.matching(world[0], FeedFilters()))
+    whole = sorted(map(tuple, feed.spread(rows).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, feed.spread(rows).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
