@@ -1,11 +1,12 @@
 """N-gram Jaccard join (operator 6): documents whose sets of 4-word shingles overlap by 0.85 or more, through a token-group matrix.
 
 1. Scan: each text becomes a set of 64-bit shingle hashes, of which a short row is kept: size, set hash, four minimum hashes and a
-   bitmap of about two bits per shingle. Equal sets are one set from here on. A fixed array of counters is summed over all rows; it
-   orders shingles from rare to common (only an order: any gives the same links).
-2. Postings: two sets that link share one of their first `n - ceil(0.85 n) + 1` shingles in that order. Postings of shingles that one
-   set alone has are dropped.
-3. Groups: sets with a minimum hash in common are compared with one of their number; the links found make the first clusters, and
+   bitmap of about two bits per shingle. Equal sets are one set from here on.
+2. Members in common: all shingles are dealt once by hash, 4 bytes each, packed by set and bucket; each bucket tells how many of a set's
+   shingles another set has too. A set with fewer than 0.85 n of them links with nothing and is left out.
+   Postings: the sets left are rebuilt and their shingles counted among them, exactly. Two sets that link share one of their first
+   `n - ceil(0.85 n) + 1` shingles from rare to common; of these, those that one set alone has come first and are not posted.
+3. Groups: sets with a minimum hash in common are compared with the one of them that has the fewest members of its own; the links found make the first clusters, and
    each cluster is cut into groups of at most 64 sets.
 4. Matrix: the postings give, for each query set, the groups of other clusters that hold one of its first shingles (with sizes and
    places that allow a link). Each group row holds the union of its members' bitmaps; it bounds the overlap with any member, and only
@@ -13,7 +14,7 @@
 5. Check: what is left is compared on full sets, a few pairs per query and cluster at first, the rest only while the two are still apart.
    So no link between clusters is lost, and a large group of near copies doesn't give all its pairs.
 
-Full sets are rebuilt from the text of just the documents in question, told by a bitmap of bounded size. Nothing per document is collected.
+Full sets are rebuilt once, from the text of just the documents in question, told by a bitmap of bounded size. Nothing per document is collected.
 
 Defined cases: null texts and texts without words have no set and link with nothing (their own component); fewer than four words are one
 shingle; repeated rows and rows of one id are rows of their own with equal sets; a null id takes part, and is the component only if no
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -38,8 +38,8 @@ from mediagraph.llm.wanted import split
 from mediagraph.session import cut
 
 SHINGLE, PERCENT = 4, 85
-#: Counters of the shingle order, members of a group.
-COUNTER_BITS, GROUP = 18, 64
+#: Shingles of a bucket, buckets at least, shingles of a task dealt at a time, members of a group.
+BUCKET, LEAST_BUCKETS, DEALT, GROUP = 1 << 21, 64, 1 << 20, 64
 KEYS = ("key0", "key1", "key2", "key3")
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -89,13 +89,12 @@ def enough(overlap, a, b, percent: int):
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc, th, n, sig, keys, bits) of every text of (doc, th, text), and the counters' blocks of every task (block not null)."""
-    schema = "doc bigint, th bigint, n bigint, sig bigint, " + "".join(f"{k} bigint, " for k in KEYS) + "bits binary, block int, salt int, counts binary"
+    """Rows (doc, th, n, sig, keys, bits) of every text of (doc, th, text)."""
+    schema = "doc bigint, th bigint, n bigint, sig bigint, " + "".join(f"{k} bigint, " for k in KEYS) + "bits binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, names = np.zeros(1 << COUNTER_BITS, np.int64), ["doc", "th", "n", "sig", *KEYS, "bits", "block", "salt", "counts"]
         for batch in batches:
-            n, sig, keys, bits, seen = [], [], [], [], set()
+            n, sig, keys, bits = [], [], [], []
             for tokens in batch_sets(batch.column(2), size):
                 n.append(len(tokens))
                 if not len(tokens):
@@ -104,93 +103,109 @@ def described(docs: DataFrame, size: int) -> DataFrame:
                 sig.append(set_hash(tokens))
                 keys.append([int((tokens * f).min().view(np.int64)) for f in FACTORS])
                 bits.append(bitmap(tokens).tobytes())
-                if sig[-1] not in seen:
-                    seen.add(sig[-1])
-                    np.add.at(counters, (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
-            none = [None] * len(n)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(4)),
-                pa.array(bits, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
-                names)
-        blocks = counters.astype(np.uint32).reshape(-1, 4096)
-        used = np.flatnonzero(blocks.any(axis=1))
-        none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([
-            *[none] * 8, pa.nulls(len(used), pa.binary()), pa.array(used.astype(np.int32)), pa.array(np.full(len(used), TaskContext.get().partitionId() % 64, np.int32)),
-            words.blobs(blocks[used].ravel(), np.full(len(used), 4096))], names)
+                pa.array(bits, pa.binary())], ["doc", "th", "n", "sig", *KEYS, "bits"])
 
     return docs.mapInArrow(run, schema)
 
 
-def counter_ranks(blocks: DataFrame) -> np.ndarray:
-    """Rank (log of the count) of each counter. The sums are made in two steps; what reaches the driver is one array of fixed size."""
+def members_in_common(docs: DataFrame, buckets: int, size: int) -> DataFrame:
+    """(sig, shared): how many of a set's members another set has too, or a few more where half a hash is the same; never fewer."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        sums = np.zeros(4096, np.int64)
-        for x in table["counts"]:
-            raw = x.as_buffer()
-            sums += np.frombuffer(raw, np.uint32 if len(raw) == 16384 else np.int64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([sums.tobytes()], pa.binary())})
+    def packed(sets: list[np.ndarray], sigs: list[int]) -> pa.RecordBatch:
+        tokens, own = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+        bucket = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, own, low = bucket[order], own[order], tokens[order].astype(np.uint32)
+        used, at = np.unique(bucket, return_index=True)
+        runs = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(own, prepend=-1) != 0))
+        several = np.diff(np.append(np.searchsorted(runs, at), len(runs)))
+        return pa.RecordBatch.from_arrays([
+            pa.array(used), words.blobs(np.array(sigs, np.int64)[own[runs]], several), words.blobs(np.diff(np.append(runs, len(own))).astype(np.int32), several),
+            words.blobs(low, np.diff(np.append(at, len(low))))], ["bucket", "sigs", "sizes", "low"])
 
-    half = blocks.groupBy("block", "salt").applyInArrow(run, "block int, counts binary")
-    got = half.groupBy("block").applyInArrow(run, "block int, counts binary").toArrow()
-    out = np.zeros(1 << COUNTER_BITS, np.int64)
-    for block, raw in zip(got["block"].to_pylist(), got["counts"].to_pylist(), strict=True):
-        out[block * 4096 : (block + 1) * 4096] = np.frombuffer(raw, np.int64)
-    return np.log2(np.maximum(out, 1)).astype(np.uint8)
-
-
-def postings(docs: DataFrame, ranks: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(token, sig, n, at) of the first shingles of each set, rare ones first. Equal sets of a batch are given once."""
-    shipped = docs.sparkSession.sparkContext.broadcast(ranks)  # one byte per counter
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shipped.value
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, parts, counts, sigs, sizes = set(), [], [], [], []
+            seen, sets, sigs, held = set(), [], [], 0
             for tokens in batch_sets(batch.column(0), size):
                 if not len(tokens) or (sig := set_hash(tokens)) in seen:
                     continue
-                seen.add(sig)
-                order = (ranks[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (tokens >> np.uint64(6))
-                most = prefix_size(len(tokens), percent)
-                first = np.argpartition(order, most - 1)[:most] if most < len(tokens) else np.arange(len(tokens))
-                first = first[np.argsort(order[first], kind="stable")]
-                parts.append(tokens[first]), counts.append(most), sigs.append(sig), sizes.append(len(tokens))
-            if parts:
-                counts = np.array(counts)
-                at = words.ragged(np.zeros(len(counts), np.int64), counts)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), counts)),
-                    pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(at.astype(np.int32))], ["token", "sig", "n", "at"])
-
-    return docs.select("text").mapInArrow(run, "token bigint, sig bigint, n int, at int")
-
-
-def shared_postings(rows: DataFrame) -> DataFrame:
-    """Postings of the shingles that two sets or more have, each once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, joined = None, False  # the last row so far, and whether the row before it has its token
+                seen.add(sig), sets.append(tokens), sigs.append(sig)
+                held += len(tokens)
+                if held >= DEALT:
+                    yield packed(sets, sigs)
+                    sets, sigs, held = [], [], 0
+            if sets:
+                yield packed(sets, sigs)
+        words.give_back()
+
+    def counted(key: tuple, table: pa.Table) -> pa.Table:
+        sigs, sizes, low = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("sigs", np.int64), ("sizes", np.int32), ("low", np.uint32)))
+        own = np.repeat(np.arange(len(sigs)), sizes)
+        once = np.zeros(len(sigs), bool)  # a set may come from several batches
+        once[np.unique(sigs, return_index=True)[1]] = True
+        own, low = own[once[own]], low[once[own]]
+        order = np.argsort(low)
+        same = np.concatenate(([False], np.diff(low[order]) == 0, [False]))
+        found, n = np.unique(sigs[own[order[same[1:] | same[:-1]]]], return_counts=True)
+        return pa.table({"sig": pa.array(found), "shared": pa.array(n.astype(np.int64))})
+
+    rows = docs.select("text").mapInArrow(dealt, "bucket int, sigs binary, sizes binary, low binary")
+    return rows.groupBy("bucket").applyInArrow(counted, "sig bigint, shared bigint").groupBy("sig").agg(F.sum("shared").alias("shared"))
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches that are sorted by the first one, cut only where its value changes."""
+    held = []
+    for batch in batches:
+        now = [c.to_numpy() for c in batch.columns]
+        if not len(now[0]):
+            continue
+        if held and held[0][0][0] == now[0][-1]:
+            held.append(now)
+            continue
+        done = int(np.searchsorted(now[0], now[0][-1]))
+        if held or done:
+            yield [np.concatenate(x) for x in zip(*held, [x[:done] for x in now], strict=True)]
+        held = [[x[done:] for x in now]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def run_sizes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of equal values."""
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return first, np.diff(np.append(first, len(values)))
+
+
+def postings(full: DataFrame, percent: int) -> DataFrame:
+    """(token, sig, n, at) of the first shingles of each set (sig, tokens), rare ones first, without those that one set alone has."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            now = [c.to_numpy() for c in batch.columns]
-            if held is not None:
-                now = [np.concatenate((a, b)) for a, b in zip(held, now, strict=True)]
-            fresh = np.ones(len(now[0]), bool)
-            fresh[1:] = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])
-            now = [x[fresh] for x in now]
-            if not len(now[0]):
-                continue
-            same = np.zeros(len(now[0]) + 1, bool)
-            same[1:-1] = now[0][1:] == now[0][:-1]
-            same[0] = joined
-            stays = (same[:-1] | same[1:])[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][stays]) for x in now], ["token", "sig", "n", "at"])
-            held, joined = [x[-1:] for x in now], bool(same[-2])
-        if held is not None and joined:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["token", "sig", "n", "at"])
-
-    return rows.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(run, rows.schema)
+            for part in words.slices(batch):
+                raw, at = words.text_buffer(part.column(1))
+                n = np.diff(at) // 8
+                sig = np.repeat(part.column(0).to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), np.int64)), pa.array(sig), pa.array(np.repeat(n, n).astype(np.int32))], ["token", "sig", "n"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, sig, n in whole_runs(batches):
+            several = np.repeat(counts := run_sizes(token)[1], counts)
+            keep = several > 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, several, token, n)], ["sig", "several", "token", "n"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sig, _, token, n in whole_runs(batches):
+            begin, counts = run_sizes(sig)
+            at = n - np.repeat(begin + counts, counts) + np.arange(len(sig))  # those of its own stand before
+            keep = at < prefix_size(n, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(sig[keep]), pa.array(n[keep]), pa.array(at[keep].astype(np.int32))], ["token", "sig", "n", "at"])
+
+    rows = full.select("sig", "tokens").mapInArrow(members, "token bigint, sig bigint, n int")
+    rows = rows.repartition("token").sortWithinPartitions("token").mapInArrow(shared, "sig bigint, several bigint, token bigint, n int")
+    return rows.repartition("sig").sortWithinPartitions("sig", "several", "token").mapInArrow(first, "token bigint, sig bigint, n int, at int")
 
 
 def overlap_bound(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> int:
@@ -201,10 +216,11 @@ def overlap_bound(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> int:
 
 
 def star_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each set with the smallest of those that have its minimum hash, where sizes and bitmaps allow a link."""
+    """(a, b): each set with one of those that have its minimum hash, where sizes and bitmaps allow a link: the one with the fewest
+    members that no other set has. Of near copies of one text this is the nearest to it, which links with most of them."""
     found = None
     for key in KEYS:
-        pivot = sets.groupBy(key).agg(F.min(F.struct("sig", "n", "bits")).alias("pivot"), F.count(F.lit(1)).alias("several")).where("several > 1")
+        pivot = sets.groupBy(key).agg(F.min(F.struct("alone", "sig", "n", "bits")).alias("pivot"), F.count(F.lit(1)).alias("several")).where("several > 1")
         rows = sets.join(pivot, key).where("sig <> pivot.sig").select("pivot.sig", "sig", "pivot.n", "n", "pivot.bits", "bits").toDF("a", "b", "n_a", "n_b", "bits_a", "bits_b")
         found = rows if found is None else found.union(rows)
     sized = found.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
@@ -219,20 +235,9 @@ def star_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def sets_asked(ask: DataFrame) -> DataFrame:
-    """(sig) of all sets in open questions (q, part, asked), listed once per batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = np.unique(np.concatenate((batch.column(0).to_numpy(), batch.column(2).flatten().to_numpy())))
-            yield pa.RecordBatch.from_arrays([pa.array(both)], ["sig"])
-
-    return ask.mapInArrow(run, "sig bigint")
-
-
-def full_sets(docs: DataFrame, sets: DataFrame, sigs: DataFrame, size: int) -> DataFrame:
-    """(sig, tokens) of the sets in `sigs`, rebuilt from the texts (th, text) of just those."""
-    wanted = cut(sigs.distinct().join(sets.select("sig", "th"), "sig"))
+def full_sets(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """(sig, tokens) of `sets`, rebuilt from the texts (th, text) of just those."""
+    wanted = sets.select("sig", "th")
     some, _ = split(docs.select("th", "text"), "th", wanted.select("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,17 +294,10 @@ def matrix_hits(posted: DataFrame, groups: DataFrame, percent: int) -> DataFrame
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None  # rows of the last shingle, which may go on in the next batch
-        for batch in batches:
-            now = [c.to_numpy() for c in batch.columns]
-            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            if not len(now[0]):
-                continue
-            done = int(np.searchsorted(now[0], now[0][-1]))
-            rest = [x[done:] for x in now]
-            yield hits([x[:done] for x in now])
-        if rest is not None:
-            yield hits(rest)
+        for rows in whole_runs(batches):
+            first, counts = run_sizes(rows[0])
+            mixed = np.repeat(np.minimum.reduceat(rows[4], first) < np.maximum.reduceat(rows[4], first), counts)  # more than one cluster has it
+            yield hits([x[mixed] for x in rows])
 
     def hits(rows: list[np.ndarray]) -> pa.RecordBatch:
         q, part = pairs(*rows)
@@ -344,16 +342,14 @@ def still_apart(rows: DataFrame, clusters: DataFrame) -> DataFrame:
     return rows.select("q", "part", "asked", F.coalesce("mine", "q").alias("mine"), F.coalesce("theirs", F.col("asked")[0]).alias("theirs")).where("mine <> theirs")
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, posted: DataFrame, size: int, percent: int) -> DataFrame:
+def linked_sets(full: DataFrame, sets: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the sets that link with another."""
-    stars = cut(star_pairs(sets, percent))
-    edges = cut(linked(stars, full_sets(docs, sets, stars.select(F.col("a").alias("sig")).union(stars.select("b")), size), percent))
+    edges = cut(linked(star_pairs(sets, percent), full, percent))
     clusters = cut(components(edges))
     groups = cut(grouped(sets, clusters))
     ask = cut(opened(matrix_hits(posted, groups, percent), groups, percent))
     if ask.isEmpty():
         return clusters
-    full = full_sets(docs, sets, sets_asked(ask), size)
     many = 1
     while True:
         rows = cut(still_apart(ask, clusters))
@@ -371,12 +367,14 @@ def linked_sets(docs: DataFrame, sets: DataFrame, posted: DataFrame, size: int,
 def clustered(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, th, n, component) of every row: its id, the hash of its text, the set's size, and what links lead to (null without a set)."""
     own = docs.select(F.col(id_col).cast(LongType()).alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    scan = cut(described(own, size))
-    rows = scan.where("block is null").drop("block", "salt", "counts")
-    ranks = counter_ranks(scan.where("block is not null").select("block", "salt", "counts"))
+    rows = cut(described(own, size))
     sets = cut(rows.where("n > 0").groupBy("sig").agg(F.min("th").alias("th"), F.first("n").alias("n"), *[F.first(k).alias(k) for k in KEYS], F.first("bits").alias("bits")))
-    posted = cut(shared_postings(postings(own, ranks, size, percent)))
-    clusters = linked_sets(own, sets, posted, size, percent)
+    buckets = max(LEAST_BUCKETS, (rows.agg(F.sum("n")).first()[0] or 0) // BUCKET)
+    able = members_in_common(own, buckets, size).join(sets, "sig").where(f"100 * shared >= {percent} * n")
+    sets = cut(able.withColumn("alone", F.col("n") - F.col("shared")).drop("shared"))
+    full = full_sets(own, sets, size)
+    posted = cut(postings(full, percent))
+    clusters = linked_sets(full, sets, posted, percent)
     return rows.select("doc", "th", "n", "sig").join(clusters, F.col("sig") == F.col("node"), "left").select("doc", "th", "n", F.coalesce("component", "sig").alias("component"))
 
 
