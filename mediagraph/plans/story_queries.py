@@ -13,7 +13,6 @@ from mediagraph.operators import reports, stories
 from mediagraph.plans.bindings import Tables
 from mediagraph.plans.registry import query
 from mediagraph.plans.text_queries import NORMAL, WORDS
-from mediagraph.session import cut
 
 STOPPED = ", ".join(f"'{w}'" for w in sorted({tx.fold_text(w) for w in (fixed.STOPWORDS_EN + fixed.STOPWORDS_FR).split()}))
 
@@ -77,14 +76,7 @@ PAIRS = WEIGHTS + """, vec AS (SELECT w.article_id, w.term, t.weight, t.df FROM
 
 
 def pairs(t: Tables) -> DataFrame:
-    rows = t.headlines
-    n = stories.pool_size(rows)
-    items = rows.select("article_id", "seen", F.lit(None).cast("bigint").alias("given")).join(stories.vectors(stories.headline_terms(rows).drop("word"), n), "article_id")
-    signatures = cut(stories.signatures_of(items.withColumn("start", F.lit(None).cast("timestamp"))))
-    found = stories.similar_signatures(signatures, n)
-    lead = lambda side: signatures.select(F.col("sig").alias(f"sig_{side}"), F.col("lead").alias(f"_{side}"))
-    named = found.join(lead("a"), "sig_a").join(lead("b"), "sig_b")
-    return named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "score", "shared")
+    return stories.similar_titles(t.headlines, stories.pool_size(t.headlines))
 
 
 @query("story_similar_headlines", ("b_headlines",), PAIRS + " SELECT a, b, shared, round(score, 6) AS score FROM linked")
